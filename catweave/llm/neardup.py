@@ -157,7 +157,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similarity, pa.float64())], ["a", "b", "similarity"])
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, words binary")
+    # Always a shuffled join: the wanted ids grow with the documents, so the plan shouldn't change with size.
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, words binary")
     words = written(words, "words")
     both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b")), "b")
     both = both.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a")), "a")
