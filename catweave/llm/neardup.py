@@ -26,6 +26,7 @@ from . import ragged
 from .common import written
 
 WIDTH, TABLES, PICKS, SIMILARITY = 5, 20, 3, 0.8
+SALTS = 16
 U64 = np.uint64
 
 
@@ -178,7 +179,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """
     sketch = written(_sketches(docs, width, tables, picks), "sketches")
     texts = sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_copies"))
-    member = sketch.select("doc_id", "t1", "t2").join(texts, ["t1", "t2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_copies").alias("n_copies"))
+    # A text may be that of a third of all documents: its copies are dealt over SALTS places.
+    salted = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    member = sketch.select("doc_id", "t1", "t2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["t1", "t2", "salt"])
+    member = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_copies").alias("n_copies"))
     member = written(member, "members")
     reps = sketch.join(texts.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
     crowd = reps.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("leader"))).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l.leader")
