@@ -53,12 +53,16 @@ class Words:
         by = np.searchsorted(start, off)
         n = len(off) - 1
         to = np.arange(len(start)) + 2 * np.repeat(np.arange(n), np.diff(by))
-        rows = np.full((len(start) + 2 * n, 3), -1, np.int64)
+        rows = np.full((len(start) + 2 * n, 3), -1, np.int32)
         for j, (size, stop) in enumerate(zip(TABLES, (end, np.minimum(end, start + 4), np.minimum(end, start + 6)))):
             rows[to, j] = (ragged.span_hash(low, start, stop, j % 2) % np.uint64(size - 1)).astype(np.int64)
-        rows[rows < 0] = -1
         return cls(rows, by + 2 * np.arange(n + 1))
 
+    @classmethod
+    def joined(cls, parts: list[Words]) -> Words:
+        size = np.concatenate([[0], *(np.diff(p.off) for p in parts)])
+        return cls(np.concatenate([np.empty((0, 3), np.int32), *(p.rows for p in parts)]), np.cumsum(size))
+
 
 @dataclass
 class Model:
@@ -113,7 +117,7 @@ def _subset(words: Words, which: np.ndarray) -> Words:
 
 def _log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
     """Of each table row: log odds of label 1 by the texts that have it, against all texts."""
-    pair = np.unique(doc * size + rows)
+    pair = np.unique(doc.astype(np.int64) * size + rows)
     has, at = label[pair // size], pair % size
     one, all_ = np.bincount(at, has, size), np.bincount(at, minlength=size)
     base = (label.sum() + 0.5) / (len(label) + 1)
@@ -132,7 +136,7 @@ def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: in
     fit = np.flatnonzero(~held)
     if len(fit):
         part = _subset(words, fit)
-        doc = np.repeat(np.arange(len(fit)), np.diff(part.off))
+        doc = np.repeat(np.arange(len(fit), dtype=np.int32), np.diff(part.off))
         real = part.rows[:, 0] >= 0
         for j, e in enumerate(model.embed):
             # The first direction starts as the tables' log odds, and each width's first filter reads it.
@@ -239,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # Bounded: the broadcast side has ``sample`` rows of two numbers, and each id's text is taken once.
     got = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).join(F.broadcast(picked), "doc_id")
     rows = got.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "toxic")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
-    words = Words.of(*ragged.texts(rows.column("text")))
+    words = Words.joined([Words.of(*ragged.texts(b.column("text"))) for b in ragged.slices(iter(rows.to_batches()), most=1 << 20)])
     label = rows.column("toxic").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
     names, code = np.unique(np.array(rows.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True) if rows.num_rows else (np.zeros(0), np.zeros(0, np.int64))
     if len(names) > MOST_LANGUAGES:  # the rarer ones share the last place
