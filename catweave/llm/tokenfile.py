@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,17 +25,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
+from .bpe import byte_letters
 from .common import scratch
 
 #: Distinct words that a worker remembers between batches.
 CACHE = 400_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, one distinct word at a time.
+    """Encodes texts with a tokenizer that drops white space, one distinct piece of a word at a time.
 
-    No pre-token of such a tokenizer reaches over white space and its normaliser treats the words
-    between it independently, so a text's ids are those of its words.
+    No pre-token of such a tokenizer reaches over white space, and its normaliser (NFC, lower case) treats
+    the words between it independently.  Words are cut further where an ASCII letter meets another ASCII
+    character, for there a letter run begins or ends; only what follows an apostrophe stays with it.
     """
 
     def __init__(self, path: str):
@@ -42,20 +51,53 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, list[int]] = {}
 
+    def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lower-case bytes, start and end of the pieces, and piece offsets by text."""
+        low = _LOWER[data]
+        start, end, by_text = ragged.words(low, off)
+        raw = low.tobytes()
+        if any(word.lower() in raw for word in self.special):
+            return data, start, end, by_text
+        cut = np.zeros(len(low) + 1, bool)
+        letter, ascii_ = _LETTER[low], low < 0x80
+        cut[1:-1] = (letter[:-1] & ascii_[1:] & ~letter[1:]) | (letter[1:] & ascii_[:-1] & ~letter[:-1] & (low[:-1] != ord("'")))
+        cut[off] = False
+        cut[start] = True
+        ink = np.zeros(len(low) + 1, bool)
+        ink[:-1] = ~ragged._WHITE[low]
+        start = np.flatnonzero(cut & ink)
+        stop = cut.copy()
+        stop[end] = True
+        ends = np.flatnonzero(stop)
+        end = ends[np.searchsorted(ends, start, "right")]
+        return low, start, end, np.searchsorted(start, off)
+
+    def _new(self, words: list[bytes]) -> None:
+        """Encode pieces seen for the first time; plain Latin letters need no normaliser or splitter."""
+        rest, token = [], self.library.model.tokenize
+        for w in words:
+            s = w.decode()
+            if s.isalpha() and (s.isascii() or max(s) < "\u0250") and s == s.lower() and s.isascii() | unicodedata.is_normalized("NFC", s):
+                self.known[w] = [t.id for t in token(s if s.isascii() else w.decode("latin-1").translate(self.letters))]
+            else:
+                rest.append((w, s))
+        for (w, _), e in zip(rest, self.library.encode_batch_fast([s for _, s in rest], add_special_tokens=False) if rest else []):
+            self.known[w] = e.ids
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and id offsets by text."""
-        start, end, by_text = ragged.words(data, off)
+        data, start, end, by_text = self.pieces(data, off)
         which, inverse = ragged.distinct(data, start, end)
         if len(self.known) > CACHE:
             self.known.clear()
         found = ragged.strings(data, start[which], end[which])
-        new = [w for w in found if w not in self.known]
-        if new:
-            got = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, e.ids) for w, e in zip(new, got))
-        out = [self.known[w] for w in found]
+        known = self.known
+        self._new([w for w in found if w not in known])
+        out = [known[w] for w in found]
         size = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(size.sum()))
         each = size[inverse]
