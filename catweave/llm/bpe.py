@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from . import pretoken, ragged
 
 #: Distinct fragments that a worker remembers between batches.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,7 +57,7 @@ class ByteBpe:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
         self.preset = {w.encode(): [i] for w, i in self.special.items()}
 
     def fragments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +82,10 @@ class ByteBpe:
         for s in ragged.strings(data, start[which], end[which]):
             ids = known.get(s)
             if ids is None:
-                ids = known[s] = preset.get(s) or self.merge(s)
+                ids = known[s] = array("I", preset.get(s) or self.merge(s)).tobytes()
             out.append(ids)
-        size = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        flat = np.frombuffer(b"".join(out), np.uint32)
         begin = np.cumsum(size) - size
         each = size[inverse]
         ids = flat[ragged.ranges(begin[inverse], each)]

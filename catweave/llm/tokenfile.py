@@ -10,10 +10,10 @@ its base, is the prefix sum of the parts before it.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from .bpe import byte_letters
 from .common import scratch
 
 #: Distinct words that a worker remembers between batches.
-CACHE = 400_000
+CACHE = 250_000
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
 _LETTER = np.zeros(256, bool)
@@ -53,7 +53,7 @@ class WordEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The lower-case bytes, start and end of the pieces, and piece offsets by text."""
@@ -82,11 +82,11 @@ class WordEncoder:
         for w in words:
             s = w.decode()
             if s.isalpha() and (s.isascii() or max(s) < "\u0250") and s == s.lower() and s.isascii() | unicodedata.is_normalized("NFC", s):
-                self.known[w] = [t.id for t in token(s if s.isascii() else w.decode("latin-1").translate(self.letters))]
+                self.known[w] = array("I", [t.id for t in token(s if s.isascii() else w.decode("latin-1").translate(self.letters))]).tobytes()
             else:
                 rest.append((w, s))
         for (w, _), e in zip(rest, self.library.encode_batch_fast([s for _, s in rest], add_special_tokens=False) if rest else []):
-            self.known[w] = e.ids
+            self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and id offsets by text."""
@@ -98,8 +98,8 @@ class WordEncoder:
         known = self.known
         self._new([w for w in found if w not in known])
         out = [known[w] for w in found]
-        size = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        flat = np.frombuffer(b"".join(out), np.uint32)
         each = size[inverse]
         ids = flat[ragged.ranges((np.cumsum(size) - size)[inverse], each)]
         return ids, np.concatenate([[0], np.cumsum(each)])[by_text]

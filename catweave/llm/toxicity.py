@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import ragged
 
 #: Labelled rows the classifier is fitted on at most, by hash order of their ids.
-SAMPLE = 12_000
+SAMPLE = 10_000
 TABLES, DIM, WIDTHS, FILTERS = (1 << 17, 1 << 15, 1 << 15), 16, (1, 2, 3), 12
 MOST_LANGUAGES = 16
 
@@ -115,14 +115,20 @@ def _subset(words: Words, which: np.ndarray) -> Words:
     return Words(words.rows[ragged.ranges(words.off[:-1][which], n)], np.concatenate([[0], np.cumsum(n)]))
 
 
-def _log_odds(rows: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Of each table row: log odds of label 1 by the texts that have it, against all texts."""
-    pair = np.unique(doc.astype(np.int64) * size + rows)
-    has, at = label[pair // size], pair % size
-    one, all_ = np.bincount(at, has, size), np.bincount(at, minlength=size)
-    base = (label.sum() + 0.5) / (len(label) + 1)
-    p = (one + 2 * base) / (all_ + 2)
-    return np.clip(np.log(p / (1 - p)) - np.log(base / (1 - base)), -3, 6)
+def _log_odds(words: Words, which: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """Of each table's rows: log odds of label 1 by the chosen texts that have it, against all of them."""
+    one, every = [np.zeros(size) for size in TABLES], [np.zeros(size) for size in TABLES]
+    for k in range(0, len(which), 256):
+        part, y = _subset(words, which[k : k + 256]), label[which[k : k + 256]]
+        doc = np.repeat(np.arange(len(y), dtype=np.int64), np.diff(part.off))
+        for j, size in enumerate(TABLES):
+            real = part.rows[:, j] >= 0
+            pair = np.unique(doc[real] * size + part.rows[real, j])
+            one[j] += np.bincount(pair % size, y[pair // size], size)
+            every[j] += np.bincount(pair % size, minlength=size)
+    base = (label[which].sum() + 0.5) / (len(which) + 1)
+    share = [(o + 2 * base) / (e + 2) for o, e in zip(one, every)]
+    return [np.clip(np.log(p / (1 - p)) - np.log(base / (1 - base)), -3, 6) for p in share]
 
 
 def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: int, epochs: int = 5, batch: int = 48, seed: int = 3) -> Model:
@@ -135,12 +141,9 @@ def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: in
     held = rng.permutation(n) < n // 5 if n >= 50 else np.zeros(n, bool)
     fit = np.flatnonzero(~held)
     if len(fit):
-        part = _subset(words, fit)
-        doc = np.repeat(np.arange(len(fit), dtype=np.int32), np.diff(part.off))
-        real = part.rows[:, 0] >= 0
-        for j, e in enumerate(model.embed):
+        for e, odds in zip(model.embed, _log_odds(words, fit, label)):
             # The first direction starts as the tables' log odds, and each width's first filter reads it.
-            e[:, 0] = 0.2 * _log_odds(part.rows[real, j], doc[real], label[fit].astype(float), len(e))
+            e[:, 0] = 0.2 * odds
         for f in model.filters:
             f[0, 0, 0] = 1.0
         model.out[:: FILTERS] = 0.5
@@ -201,10 +204,11 @@ def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: in
 
 
 def _fit_languages(model: Model, words: Words, language: np.ndarray, n: int) -> None:
-    doc = np.repeat(np.arange(len(language)), np.diff(words.off))
-    real = words.rows[:, 1] >= 0
     count = np.zeros((TABLES[1], max(1, n)))
-    np.add.at(count, (words.rows[real, 1], language[doc[real]]), 1)
+    for k in range(0, len(language), 256):
+        part = _subset(words, np.arange(k, min(k + 256, len(language))))
+        doc, real = np.repeat(language[k : k + 256], np.diff(part.off)), part.rows[:, 1] >= 0
+        np.add.at(count, (part.rows[real, 1], doc[real]), 1)
     count += 0.1
     model.tongue = np.log(count / count.sum(0)).astype(np.float32)
     model.tongue[-1] = 0
@@ -227,7 +231,8 @@ def _calibrate(model: Model, words: Words, label: np.ndarray, n: int) -> None:
     model.threshold = np.zeros(max(1, n), np.float32)
     if label.sum() < 3 or (label == 0).sum() < 3:
         return
-    z, tongue = model.logits(words), model.languages(words)
+    parts = [_subset(words, np.arange(k, min(k + 256, len(label)))) for k in range(0, len(label), 256)]
+    z, tongue = np.concatenate([model.logits(p) for p in parts]), np.concatenate([model.languages(p) for p in parts])
     model.threshold[:] = _best_cut(z, label)
     for k in range(n):
         own = tongue == k
@@ -245,7 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = got.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "toxic")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
     words = Words.joined([Words.of(*ragged.texts(b.column("text"))) for b in ragged.slices(iter(rows.to_batches()), most=1 << 20)])
     label = rows.column("toxic").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
-    names, code = np.unique(np.array(rows.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True) if rows.num_rows else (np.zeros(0), np.zeros(0, np.int64))
+    names, code = np.unique(np.array(rows.column("lang").to_pylist(), dtype=str), return_inverse=True)
+    del rows
     if len(names) > MOST_LANGUAGES:  # the rarer ones share the last place
         rank = np.empty(len(names), np.int64)
         rank[np.argsort(-np.bincount(code), kind="stable")] = np.arange(len(names))
