@@ -1,0 +1,87 @@
+"""A star of independent links around one anchor."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.sphere import check_match_radius
+from ..plans.index import MatchIndex, column, row_column
+from ..sources.shared import numbered
+from .edges import build_edges, check_survey_names
+from .policies import check_policy, one_to_one_pairs
+from .uids import match_uids
+
+
+@dataclass(frozen=True)
+class UIDLink:
+    """Linked by equal identifiers."""
+
+
+@dataclass(frozen=True)
+class SpatialLink:
+    """Linked by position."""
+
+    radius_arcsec: float
+    policy: str = "mutual_nearest"
+
+    def __post_init__(self) -> None:
+        check_match_radius(self.radius_arcsec)
+
+
+def match_hub_and_spoke(
+    spark: SparkSession, *, anchor: str, links: Mapping[str, UIDLink | SpatialLink], coordinates: Mapping[str, Any] | None = None, uids: Mapping[str, Any] | None = None,
+    dedupe_radius_arcsec: float = 0.0, dedupe_radius_arcsec_overrides: Mapping[str, float] | None = None, check: bool = True,
+) -> MatchIndex:
+    """Anchor rows that every link matches, with the rows they are linked to.
+
+    Each link is solved on all rows of its two sides, whatever other links find; counterparts are not held
+    against each other and may repeat under anchored policies.
+    """
+    coordinates, uids = dict(coordinates or {}), dict(uids or {})
+    names = [anchor, *links]
+    check_survey_names(names)
+    if not links:
+        raise ValueError("at least one link is needed")
+    if anchor in links:
+        raise ValueError("the anchor can't be its own spoke")
+    for n, link in links.items():
+        if not isinstance(link, UIDLink | SpatialLink):
+            raise ValueError(f"{n}: unknown link {link!r}")
+        where, what = (uids, "uids") if isinstance(link, UIDLink) else (coordinates, "coordinates")
+        for side in (anchor, n):
+            if side not in where:
+                raise ValueError(f"{n}: {what} of {side} are missing")
+    if extra := (set(coordinates) | set(uids) | set(dedupe_radius_arcsec_overrides or {})) - set(names):
+        raise ValueError(f"inputs for unknown surveys: {sorted(extra)}")
+    found: dict[str, DataFrame] = {}
+    provenance = []
+    for n, link in links.items():
+        if isinstance(link, UIDLink):
+            pairs = match_uids(spark, {anchor: uids[anchor], n: uids[n]}, check=check).df.drop("entity_id")
+            provenance.append({"survey": n, "method": "uid"})
+        else:
+            check_policy(link.policy)
+            overrides = {k: v for k, v in (dedupe_radius_arcsec_overrides or {}).items() if k in (anchor, n)}
+            edges = build_edges(
+                spark, {anchor: coordinates[anchor], n: coordinates[n]}, radius_arcsec=link.radius_arcsec, dedupe_radius_arcsec=dedupe_radius_arcsec, dedupe_radius_arcsec_overrides=overrides, check=check
+            )
+            kept = one_to_one_pairs(edges.pair(anchor, n), link.policy)
+            pairs = kept.select(F.col("row_a").alias(row_column(anchor)), F.col("row_b").alias(row_column(n)))
+            provenance.append({"survey": n, "method": "spatial", "radius_arcsec": link.radius_arcsec, "policy": link.policy})
+        found[n] = pairs
+    out: DataFrame | None = None
+    for pairs in found.values():
+        out = pairs if out is None else out.join(pairs, row_column(anchor))
+    df = numbered(out.withColumn("_r", column(row_column(anchor))), "entity_id", "_r").select("entity_id", *(column(row_column(n)) for n in names))
+
+    def counts() -> dict:
+        for p in provenance:
+            p["n_matches"] = found[p["survey"]].count()
+        return {"mode": "hub_and_spoke", "links": provenance, "n_rows": df.count()}
+
+    return MatchIndex(df, tuple(names), [F.col("entity_id")], {"anchor": anchor}, counts)
