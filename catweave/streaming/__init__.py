@@ -1,0 +1 @@
+"""Catalogues that arrive in pieces."""
