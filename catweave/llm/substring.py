@@ -25,7 +25,7 @@ from . import ragged
 
 #: A perfect difference set: the differences of its elements meet each residue but 0 once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK = "_catweave_block"
 LAST = np.iinfo(np.int64).max
 
