@@ -8,7 +8,8 @@ to the full length and compared whole, by a 96-bit hash, for the smallest docume
 
 Documents are dealt into blocks of a few megabytes.  A block sends each of its distinct anchors or
 windows once, with the smallest and largest document that has it there, so a passage in a third of all
-documents is one row a block, and gets its answer back as one row a block.
+documents is one row a block, and gets its answer back as one row a block.  All windows of a text start in
+its first copy, so later exact copies need no anchors: they are found by a hash of the text beforehand.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ragged
+from .common import written
 
 #: A perfect difference set: the differences of its elements meet each residue but 0 once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 BLOCK_BYTES = 4 << 20
-BLOCK = "_catweave_block"
+BLOCK, TEXT = "_catweave_block", "_catweave_text"
+SALTS = 16
 LAST = np.iinfo(np.int64).max
 
 
@@ -40,6 +43,13 @@ class _Words:
         self.n = np.diff(self.by_text)
         self.hash = ragged.span_hash(self.data, self.start, self.end)
 
+    def copies(self, table: pa.Table, known: pa.Table) -> np.ndarray:
+        """Which documents are later copies of a text."""
+        pairs = np.stack([known.column("low").to_numpy(), known.column("h").to_numpy()], 1)
+        own = np.stack([self.doc_id, table.column(TEXT).to_numpy()], 1)
+        kind = [("a", np.int64), ("b", np.int64)]
+        return np.isin(np.ascontiguousarray(own).view(kind).ravel(), np.ascontiguousarray(pairs).view(kind).ravel())
+
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word index, document index and hash of every anchor."""
         doc = np.repeat(np.arange(len(self.n)), self.n)
@@ -106,24 +116,41 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     docs = docs.select("doc_id", "text") if digest else docs.drop("n_words", "n_removed")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    dealt = docs.withColumn(BLOCK, F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(n_blocks))).repartition(BLOCK)
-
-    def send_anchors(key: tuple, block: pa.Table) -> pa.Table:
-        own = _Words(block)
+    block_of = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(n_blocks))
+    dealt = docs.withColumn(BLOCK, block_of).withColumn(TEXT, F.xxhash64("text")).repartition(BLOCK)
+
+    # Later copies of a text: (id, text hash); a text's copies are dealt over SALTS places.
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("low"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), block_of.alias(BLOCK))
+    firsts = named.groupBy("h", "g").agg(F.min("low").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = named.withColumn("salt", F.pmod(F.xxhash64("low"), F.lit(SALTS)).cast("int")).join(firsts, ["h", "g", "salt"]).where("low > first")
+    copies = written(again.select(F.lit(0).alias("kind"), "h", "low", BLOCK), "copies")
+
+    def apart(block: pa.Table, told: pa.Table) -> tuple[_Words, np.ndarray, pa.Table]:
+        """The block's documents that are no copies, where the copies are, and the other rows told."""
+        kind = told.column("kind").to_numpy()
+        every = _Words.__new__(_Words)
+        every.doc_id = block.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
+        copy = every.copies(block, told.filter(pa.array(kind == 0)))
+        return _Words(block.filter(pa.array(~copy))), copy, told.filter(pa.array(kind == 1))
+
+    def send_anchors(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+        own, _, _ = apart(block, told)
         _, doc, h = own.anchors(length)
         h, low, high = _per_block(h, own.doc_id[doc])
         return pa.table([*_longs(h, low, high), pa.array(np.full(len(h), key[0].as_py(), np.int64))], ["h", "low", "high", BLOCK])
 
-    def send_windows(key: tuple, block: pa.Table, shared: pa.Table) -> pa.Table:
-        own = _Words(block)
+    def send_windows(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+        own, _, shared = apart(block, told)
         _, doc, h, g = own.candidates(length, shared.column("h").to_numpy().view(np.uint64))
         h, low, high, g = _per_block(h, own.doc_id[doc], g)
         return pa.table([*_longs(h, g >> np.uint64(32), low, high), pa.array(np.full(len(h), key[0].as_py(), np.int64))], ["h", "g", "low", "high", BLOCK])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
-    def cut(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
-        own = _Words(block)
+    def cut(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+        own, kind = _Words(block), told.column("kind").to_numpy()
+        copy = own.copies(block, told.filter(pa.array(kind == 0)))
+        found = told.filter(pa.array(kind == 1))
         h, low = found.column("h").to_numpy().view(np.uint64), found.column("low").to_numpy()
         order = np.argsort(h)
         h, low = h[order], low[order]
@@ -133,6 +160,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
             earlier = low[np.searchsorted(h, w)] < own.doc_id[doc]
             np.add.at(edge, begin[earlier], 1)
             np.add.at(edge, begin[earlier] + length, -1)
+        whole = np.flatnonzero(copy & (own.n >= length))
+        np.add.at(edge, own.by_text[whole], 1)
+        np.add.at(edge, own.by_text[whole + 1], -1)
         gone = np.cumsum(edge[:-1]) > 0
         run = np.concatenate([[0], np.cumsum(gone)])
         removed = run[own.by_text[1:]] - run[own.by_text[:-1]]
@@ -151,15 +181,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
         counts = _longs(own.n, removed)
         if digest:
             return pa.table([block.column("doc_id").cast(pa.int64()), *counts, pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-        block = block.drop_columns([BLOCK])
+        block = block.drop_columns([BLOCK, TEXT])
         texts = block.column("text").to_pylist()
         text = pa.array([t if k is None else k for t, k in zip(texts, out)], block.column("text").type)
         return block.set_column(block.column_names.index("text"), "text", text).append_column("n_words", counts[0]).append_column("n_removed", counts[1])
 
-    anchors = dealt.groupBy(BLOCK).applyInArrow(send_anchors, f"h long, low long, high long, {BLOCK} long")
+    def told(kind_one: DataFrame | None = None) -> object:
+        rows = copies if kind_one is None else copies.unionByName(kind_one.select(F.lit(1).alias("kind"), "h", "low", BLOCK))
+        return rows.groupBy(BLOCK)
+
+    anchors = dealt.groupBy(BLOCK).cogroup(told()).applyInArrow(send_anchors, f"h long, low long, high long, {BLOCK} long")
     by_anchor = Window.partitionBy("h")
-    shared = anchors.withColumns({"low": F.min("low").over(by_anchor), "high": F.max("high").over(by_anchor)}).where("low < high").select("h", BLOCK)
-    windows = dealt.groupBy(BLOCK).cogroup(shared.groupBy(BLOCK)).applyInArrow(send_windows, f"h long, g long, low long, high long, {BLOCK} long")
+    shared = anchors.withColumns({"low": F.min("low").over(by_anchor), "high": F.max("high").over(by_anchor)}).where("low < high").select("h", F.lit(0).cast("long").alias("low"), BLOCK)
+    windows = dealt.groupBy(BLOCK).cogroup(told(shared)).applyInArrow(send_windows, f"h long, g long, low long, high long, {BLOCK} long")
     by_window = Window.partitionBy("h", "g")
     repeats = windows.withColumn("low", F.min("low").over(by_window)).where("low < high").select("h", "low", BLOCK)
-    return dealt.groupBy(BLOCK).cogroup(repeats.groupBy(BLOCK)).applyInArrow(cut, schema)
+    return dealt.groupBy(BLOCK).cogroup(told(repeats)).applyInArrow(cut, schema)
