@@ -129,7 +129,7 @@ def resolve_to_file(spark: SparkSession, directory: str, mode: CrossmatchModeCon
     """Resolve saved edges and save the index, sorted by range over as many files as Spark makes."""
     index = resolve(read_edges(spark, directory), mode)
     (index.with_metadata() if sort else index.df).write.mode("overwrite").parquet(path)
-    write_text(spark, f"{path}/_{METADATA}", json.dumps(index.metadata))
+    write_text(spark, f"{path}/_index.json", json.dumps(index.metadata))
     return index
 
 
