@@ -5,9 +5,9 @@ A text's shingles (``width`` consecutive words) are labelled with their occurren
 in which they stand in the text (Marcais et al., Locality-sensitive hashing for the edit distance, 2019):
 two texts agree in such a key about as often as they share shingles, in the same order.
 
-Texts with an equal key are candidates.  Within a key every text is held against one leader, the same for
-all keys that have it, so a group of any size gives as many pairs as members; keys whose members are
-then still in several classes get another leader and another round.  A candidate pair is aligned: the
+Texts with an equal key are candidates.  Within a key every text is held against one leader, that which
+shares keys with most others, so a group of any size gives as many pairs as members; keys whose members
+are then still in several classes get a leader drawn anew in each further round.  A candidate pair is aligned: the
 longest common subsequence of the two shingle sequences, computed with bit vectors over the band of
 diagonals that a pair of the wanted similarity cannot leave.
 """
@@ -166,7 +166,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> Da
     return both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS, rounds: int = 3) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, n_copies``.
 
     ``class_id`` is the smallest id of the documents linked with it, directly or through others; a document
@@ -185,15 +185,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     member = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_copies").alias("n_copies"))
     member = written(member, "members")
     reps = sketch.join(texts.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
-    crowd = reps.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("leader"))).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l.leader")
-    bucket = written(reps.join(crowd, "key"), "buckets")
+    crowd = reps.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(reps.join(crowd, "key"), "shared")
+    # Texts that share keys with many others lead: of a text and its edited copies, mostly the text.
+    rank = shared.groupBy("doc_id").agg(F.sum("n").alias("n")).select("doc_id", F.struct("n", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("leader")).alias("rank"))
+    bucket = shared.select("key", "doc_id").join(rank, "doc_id")
+    bucket = written(bucket.join(bucket.groupBy("key").agg(F.max("rank").alias("first")), "key").select("key", "doc_id", F.col("first.leader").alias("leader")), "buckets")
     pairs = written(bucket.where("doc_id != leader").select(F.greatest("doc_id", "leader").alias("a"), F.least("doc_id", "leader").alias("b")).distinct(), "pairs")
     tried = pairs
     links = written(_verified(docs, pairs, width, similarity), "links")
-    for _ in range(rounds - 1):
+    for turn in range(1, rounds):
         label = connected_components(links, "a", "b", written)
         named = bucket.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        one = named.groupBy("key", "component").agg(F.max(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))).alias("m"))
+        drawn = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("d"))
+        one = named.groupBy("key", "component").agg(F.max(drawn).alias("m"))
         open_ = one.groupBy("key").agg(F.max("m").alias("l"), F.count("*").alias("n")).where("n > 1")
         more = one.join(open_, "key").where("m.d != l.d").select(F.greatest("m.d", "l.d").alias("a"), F.least("m.d", "l.d").alias("b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
