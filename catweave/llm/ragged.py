@@ -8,6 +8,8 @@ the end, so the hash of any substring costs two lookups.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +69,14 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system, where it can be asked to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows, cut so that each piece has about ``most`` bytes of text (one row at least)."""
     for batch in batches:
@@ -78,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()  # workers are used again, by other operators too
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -256,7 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rank = np.empty(len(names), np.int64)
         rank[np.argsort(-np.bincount(code), kind="stable")] = np.arange(len(names))
         code = np.minimum(rank[code], MOST_LANGUAGES - 1)
-    return train(words, label, code, min(len(names), MOST_LANGUAGES) or 1)
+    model = train(words, label, code, min(len(names), MOST_LANGUAGES) or 1)
+    del words
+    ragged.release()
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
