@@ -1,9 +1,10 @@
 """Matching of astronomical catalogues on Spark."""
 
 from .functions.sphere import arcsec_to_chord, chord_to_arcsec
-from .operators.edges import CandidateEdges, EdgeSettings, build_edges, combine_segments, edge_settings
+from .operators.edges import CandidateEdges, DedupeOutcome, EdgeSettings, PairEdges, build_edges, combine_segments, edge_settings
 from .operators.hub import SpatialLink, UIDLink, match_hub_and_spoke
-from .operators.modes import CrossmatchModeConfig, DegenerateCrossmatchConfig, EntitySelectionConfig, EntitywiseCrossmatchConfig
+from .operators.kernel import CatalogKernel
+from .operators.modes import CrossmatchModeConfig, DegenerateCrossmatchConfig, EntitySelectionConfig, EntitywiseCrossmatchConfig, mode_to_mapping
 from .operators.policies import one_to_one_pairs
 from .operators.spatial import all_pairs, self_pairs
 from .operators.uids import match_uids

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Collection, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 from typing import Any
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sphere import check_match_radius
 from ..sources.catalog import catalogue, check_coordinates
+from ..sources.shared import written
 from .dedupe import dedupe_survey
 from .graph import MOST_SURVEYS
 from .spatial import all_pairs
@@ -85,6 +86,48 @@ def edge_settings(
     return EdgeSettings(names, dedupe, radius)
 
 
+@dataclass(frozen=True)
+class DedupeOutcome:
+    """One survey's covered rows (``row``) and what deduplication found (``row, status, kept_row``)."""
+
+    name: str
+    dedupe_radius_arcsec: float
+    rows: DataFrame
+    found: DataFrame
+
+    def dropped_rows(self) -> DataFrame:
+        """``row, kept_row``: duplicates and the lowest row of their group."""
+        return self.found.where("status = 'dropped'").select("row", "kept_row")
+
+    def disputed_rows(self) -> DataFrame:
+        """``row`` of groups that are no cliques."""
+        return self.found.where("status = 'disputed'").select("row")
+
+    def active_rows(self) -> DataFrame:
+        """``row`` of covered rows neither dropped nor disputed."""
+        return self.rows.join(self.found, "row", "left_anti")
+
+    @functools.cached_property
+    def counts(self) -> dict[str, int]:
+        """Covered, dropped, disputed and active rows (runs two jobs once)."""
+        covered = self.rows.count()
+        dropped, disputed = self.found.agg(F.count_if(F.col("status") == "dropped"), F.count_if(F.col("status") == "disputed")).first()
+        return {"n_covered": covered, "n_dropped": dropped, "n_disputed": disputed, "n_active": covered - dropped - disputed}
+
+
+@dataclass(frozen=True)
+class PairEdges:
+    """Every pair of active rows of two surveys within a radius: ``row_a, row_b, separation_arcsec``."""
+
+    survey_a: str
+    survey_b: str
+    radius_arcsec: float
+    df: DataFrame
+
+    def ordered(self) -> DataFrame:
+        return self.df.orderBy("row_a", "row_b")
+
+
 @dataclass
 class CandidateEdges:
     """Outcomes and edges of a set of surveys; ``rows`` lists the rows covered (``survey, row``)."""
@@ -96,6 +139,13 @@ class CandidateEdges:
     edges: DataFrame
     catalogues: Mapping[str, DataFrame] = field(default_factory=dict)
     segment: str | None = None
+    is_stored: bool = False
+
+    def stored(self) -> CandidateEdges:
+        """The same with outcomes and edges stored in the shared folder, for plans that read them many times."""
+        if self.is_stored:
+            return self
+        return replace(self, outcomes=written(self.outcomes, "outcomes"), edges=written(self.edges, "candidates"), is_stored=True)
 
     @property
     def survey_names(self) -> tuple[str, ...]:
@@ -114,6 +164,15 @@ class CandidateEdges:
         a, b = ("row_a", "row_b") if stored[0] == first else ("row_b", "row_a")
         return got.select(F.col(a).alias("row_a"), F.col(b).alias("row_b"), "separation_arcsec")
 
+    def pair_edges(self, first: str, second: str) -> PairEdges:
+        return PairEdges(first, second, self.settings.pair_radius.get(frozenset((first, second)), math.nan), self.pair(first, second))
+
+    def outcome(self, name: str) -> DedupeOutcome:
+        if name not in self.survey_names:
+            raise ValueError(f"unknown survey {name!r}")
+        own = F.col("survey") == name
+        return DedupeOutcome(name, self.settings.dedupe_radius[name], self.rows.where(own).select("row"), self.outcomes.where(own).select("row", "status", "kept_row"))
+
     @functools.cached_property
     def dedupe_counts(self) -> dict[str, dict[str, int]]:
         """Rows, dropped and disputed rows by survey (runs a job once)."""
@@ -142,16 +201,18 @@ def build_edges(spark: SparkSession, coordinates: Mapping[str, Any], *, radius_a
     catalogues = {n: catalogue(spark, c, n) for n, c in coordinates.items()}
     if check:
         check_coordinates(catalogues)
-    outcomes = {n: dedupe_survey(c, plan.dedupe_radius[n]) for n, c in catalogues.items()}
+    judged = [dedupe_survey(c, plan.dedupe_radius[n]).select(F.lit(n).alias("survey"), "row", "status", "kept_row") for n, c in catalogues.items() if plan.dedupe_radius[n]]
+    found = union(judged, spark, OUTCOME_SCHEMA)
+    if judged:
+        found = written(found, "outcomes")  # every join of the survey below reads them
     # Rows that don't take part are taken out before the joins, which gives the same edges.
-    active = {n: c.join(outcomes[n], "row", "left_anti") if plan.dedupe_radius[n] else c for n, c in catalogues.items()}
+    active = {n: c.join(found.where(F.col("survey") == n).select("row"), "row", "left_anti") if plan.dedupe_radius[n] else c for n, c in catalogues.items()}
     edges = [
         all_pairs(active[a], active[b], plan.pair_radius[p]).select(F.lit(a).alias("survey_a"), F.lit(b).alias("survey_b"), "row_a", "row_b", "separation_arcsec")
         for a, b in combinations(plan.surveys, 2)
         if (p := frozenset((a, b))) in plan.pair_radius
     ]
     rows = union([c.select(F.lit(n).alias("survey"), "row") for n, c in catalogues.items()], spark, "survey string, row long")
-    found = union([o.select(F.lit(n).alias("survey"), "row", "status", "kept_row") for n, o in outcomes.items() if plan.dedupe_radius[n]], spark, OUTCOME_SCHEMA)
     return CandidateEdges(spark, plan, rows, found, union(edges, spark, EDGE_SCHEMA), catalogues)
 
 

@@ -115,12 +115,13 @@ def nodes_of(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.select((F.shiftleft(place[F.col("survey")], 48) + F.col("row")).alias("node"))
 
 
-def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def labelled(links: DataFrame, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``node, component, is_clique`` of every node of an edge, and the edges of what is no clique.
 
-    Only components that are no cliques are labelled by iteration.
+    Only components that are no cliques are labelled by iteration; ``signed`` are stored signatures of the links.
     """
-    signed = written(signatures(links), "signatures")
+    if signed is None:
+        signed = written(signatures(links), "signatures")
     clean = signed.where("is_clique").select("node", F.element_at("signature", 1).alias("component"), F.lit(True).alias("is_clique"))
     rest = signed.where("NOT is_clique").select(F.col("node").alias("u"))
     residue = written(links.join(rest, "u", "left_semi"), "residue")
@@ -155,9 +156,9 @@ class EntitywiseCrossmatchConfig(CrossmatchModeConfig):
             raise ValueError("priority must name every survey once")
         return [list(names).index(n) for n in self.priority]
 
-    def _resolved(self, links: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    def _resolved(self, links: DataFrame, signed: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         """``entity, node`` of groups, and ``node`` of components over the cap."""
-        labels, residue = labelled(links)
+        labels, residue = labelled(links, signed)
         sized = labels.where("NOT is_clique").groupBy("component").agg(F.count("*").alias("size"))
         odd = written(labels.where("NOT is_clique").join(sized, "component"), "ambiguous")
         small = residue.join(odd.where(F.col("size") <= self.size_cap).select(F.col("node").alias("u"), "component"), "u")
@@ -179,18 +180,18 @@ class EntitywiseCrossmatchConfig(CrossmatchModeConfig):
         if self.selection is not None:
             self.selection.check(names)
         self._ranks(names)
+        edges = edges.stored()
         links = node_edges(edges)
-        signed = signatures(links)
+        signed = written(signatures(links), "signatures")
         none = F.lit(None).cast("string")
         clean = signed.where("is_clique").select(F.element_at("signature", 1).alias("entity"), "node", none.alias("reason"))
         groups: DataFrame | None = None
         if self.resolver == "refuse":
             refused = signed.where("NOT is_clique").select("node")
         else:
-            groups, refused = self._resolved(links, names)
+            groups, refused = self._resolved(links, signed, names)
         multi = clean if groups is None else clean.unionByName(groups.withColumn("reason", none))
-        in_edge = links.select(F.explode(F.array("u", "v")).alias("node"))
-        alone = nodes_of(edges.active(), names).join(in_edge, "node", "left_anti")
+        alone = nodes_of(edges.active(), names).join(signed.select("node"), "node", "left_anti")
         disputed = nodes_of(edges.outcomes.where("status = 'disputed'"), names)
         single = alone.withColumn("reason", none).unionByName(refused.withColumn("reason", F.lit(AMBIGUOUS))).unionByName(disputed.withColumn("reason", F.lit(DISPUTED)))
 
@@ -209,7 +210,7 @@ class EntitywiseCrossmatchConfig(CrossmatchModeConfig):
                 chosen = chosen.where(column(row_column(n)).isNotNull())
 
         def counts() -> dict:
-            labels, _ = labelled(links)
+            labels, _ = labelled(links, signed)
             by = labels.groupBy("component", "is_clique").agg(F.count("*").alias("n"))
             cliques, odd, odd_rows = by.agg(F.count_if("is_clique"), F.count_if(~F.col("is_clique")), F.coalesce(F.sum(F.when(~F.col("is_clique"), F.col("n"))), F.lit(0))).first()
             out = {

@@ -24,6 +24,7 @@ def duplicate_groups(edges: CandidateEdges) -> DataFrame:
 
 def pair_facts(edges: CandidateEdges) -> DataFrame:
     """By pair: edges, matched rows and rows with several candidates on each side, separation percentiles."""
+    edges = edges.stored()
     key = ["survey_a", "survey_b"]
     e = edges.edges
     main = e.groupBy(*key).agg(F.count("*").alias("n_edges"), F.percentile("separation_arcsec", F.array(*(F.lit(p / 100) for p in PERCENTS))).alias("percentiles"))
@@ -35,6 +36,7 @@ def pair_facts(edges: CandidateEdges) -> DataFrame:
 
 def component_facts(edges: CandidateEdges) -> DataFrame:
     """One row per component of active rows: ``component, n, bits`` (survey mask), ``is_clique``."""
+    edges = edges.stored()
     links = node_edges(edges)
     labels, _ = labelled(links)
     alone = nodes_of(edges.active(), edges.survey_names).join(labels, "node", "left_anti")
@@ -46,6 +48,7 @@ def component_facts(edges: CandidateEdges) -> DataFrame:
 def audit_edges(edges: CandidateEdges) -> dict[str, Any]:
     """Surveys, pairs and components in plain JSON types.  All results collected are a few rows a survey,
     pair or combination of surveys."""
+    edges = edges.stored()
     names, radii = edges.survey_names, edges.settings
     counts = edges.dedupe_counts
     groups = {r["survey"]: r for r in duplicate_groups(edges).collect()}

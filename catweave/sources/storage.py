@@ -122,7 +122,7 @@ def read_edges(spark: SparkSession, directory: str) -> CandidateEdges:
 
 def _read(spark: SparkSession, directory: str, meta: Mapping[str, Any], segments: list[str] | None) -> CandidateEdges:
     parts = [_part(spark, directory, n, s, segments) for n, s in ((ROWS, "survey string, row long"), (DEDUPE, OUTCOME_SCHEMA), (EDGES, EDGE_SCHEMA))]
-    return CandidateEdges(spark, _settings(meta), *parts, segment=segments[0] if segments else None)
+    return CandidateEdges(spark, _settings(meta), *parts, segment=segments[0] if segments else None, is_stored=True)
 
 
 def resolve_to_file(spark: SparkSession, directory: str, mode: CrossmatchModeConfig, path: str, *, sort: bool = True) -> MatchIndex:

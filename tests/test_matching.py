@@ -294,3 +294,23 @@ def test_read_catalogue_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert read_bands(spark, f"file://{tmp_path}/layout", "s").count() == 50
+
+
+def test_kernel_and_outcomes(spark):
+    kernel = cw.CatalogKernel(spark, S(0, 0.2, 10, 10.7, 11.4, 30), name="a")
+    other = cw.CatalogKernel(spark, S(30.1, 0.1), name="b")
+    assert len(kernel) == 6 and kernel and len(cw.CatalogKernel(spark, ([], []))) == 0
+    assert got(kernel.self_pairs(0.8).select("row_a", "row_b")) == [(0, 1), (2, 3), (3, 4)]
+    assert got(kernel.all_pairs(other, 0.5).select("row_a", "row_b")) == [(0, 1), (1, 1), (5, 0)]
+    assert got(kernel.dedupe(0.8)) == [(1, "dropped", 0), (2, "disputed", None), (3, "disputed", None), (4, "disputed", None)]
+    with pytest.raises(ValueError, match="finite"):
+        cw.CatalogKernel(spark, ([float("nan")], [0.0]))
+    edges = cw.build_edges(spark, {"a": kernel.df, "b": other.df}, radius_arcsec=0.5, dedupe_radius_arcsec=0.8, dedupe_radius_arcsec_overrides={"b": 0.0})
+    a, b = edges.outcome("a"), edges.outcome("b")
+    assert got(a.dropped_rows()) == [(1, 0)] and got(a.disputed_rows()) == [(2,), (3,), (4,)] and got(a.active_rows()) == [(0,), (5,)]
+    assert a.counts == {"n_covered": 6, "n_dropped": 1, "n_disputed": 3, "n_active": 2} and b.counts["n_active"] == 2
+    pair = edges.pair_edges("b", "a")
+    assert (pair.survey_a, pair.radius_arcsec) == ("b", 0.5) and [tuple(r)[:2] for r in pair.ordered().collect()] == [(0, 5), (1, 0)]
+    assert edges.stored().stored().is_stored and got(edges.stored().edges) == got(edges.edges)
+    with pytest.raises(ValueError, match="unknown survey"):
+        edges.outcome("c")
