@@ -142,10 +142,11 @@ class CandidateEdges:
     is_stored: bool = False
 
     def stored(self) -> CandidateEdges:
-        """The same with outcomes and edges stored in the shared folder, for plans that read them many times."""
-        if self.is_stored:
-            return self
-        return replace(self, outcomes=written(self.outcomes, "outcomes"), edges=written(self.edges, "candidates"), is_stored=True)
+        """The same with edges stored in the shared folder, for plans that read them many times.
+
+        Outcomes are few, and stored as soon as they are found.
+        """
+        return self if self.is_stored else replace(self, edges=written(self.edges, "candidates"), is_stored=True)
 
     @property
     def survey_names(self) -> tuple[str, ...]:
