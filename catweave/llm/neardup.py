@@ -5,15 +5,18 @@ A text's shingles (``width`` consecutive words) are labelled with their occurren
 in which they stand in the text (Marcais et al., Locality-sensitive hashing for the edit distance, 2019):
 two texts agree in such a key about as often as they share shingles, in the same order.
 
-Texts with an equal key are candidates.  Within a key every text is held against one leader, that which
-shares keys with most others, so a group of any size gives as many pairs as members; keys whose members
-are then still in several classes get a leader drawn anew in each further round.  A candidate pair is aligned: the
-longest common subsequence of the two shingle sequences, computed with bit vectors over the band of
-diagonals that a pair of the wanted similarity cannot leave.
+Texts with an equal key are candidates, and every candidate pair is decided, once: in the least key that
+both have.  The members of a key are dealt into blocks of bounded size, so a key of any size is worked on
+in many tasks; keys with the same members count as one.  A pair is similar by the longest common
+subsequence of its shingle sequences.  In a block of many pairs it is bounded from both sides by matrix
+products: by the shingles in common, and by those that also stand in one order which the whole block
+follows.  Pairs between the bounds, and those of small blocks, are aligned with bit vectors over the band
+of diagonals that a pair of the wanted similarity cannot leave.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from .common import written
 
 WIDTH, TABLES, PICKS, SIMILARITY = 5, 20, 3, 0.8
 SALTS = 16
+#: Texts and words of one block; pairs from which a block is decided by matrix products; columns of one product.
+BLOCK_TEXTS, BLOCK_WORDS, MANY, COLUMNS = 512, 2_000_000, 64, 4096
 U64 = np.uint64
 
 
@@ -43,16 +48,20 @@ def shingles(hashes: np.ndarray, by_text: np.ndarray, width: int) -> tuple[np.nd
     return out, off
 
 
-def order_min_hash(shingle: np.ndarray, off: np.ndarray, tables: int, picks: int) -> np.ndarray:
-    """Keys (texts x tables) of texts that each have a shingle."""
-    n = np.diff(off)
-    doc = np.repeat(np.arange(len(n)), n)
+def _labelled(shingle: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with their occurrence numbers in their documents (``doc`` ascends)."""
     order = np.argsort(shingle, kind="stable")
     same = (shingle[order][1:] == shingle[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     nth = np.empty(len(shingle), np.int64)
     nth[order] = np.arange(len(shingle)) - np.repeat(first, np.diff(np.append(first, len(shingle))))
-    label = ragged.mix(shingle + nth.astype(U64) * U64(0xA24BAED4963EE407))
+    return ragged.mix(shingle + nth.astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def order_min_hash(shingle: np.ndarray, off: np.ndarray, tables: int, picks: int) -> np.ndarray:
+    """Keys (texts x tables) of texts that each have a shingle."""
+    n = np.diff(off)
+    label = _labelled(shingle, np.repeat(np.arange(len(n)), n))
     bits = U64(max(20, len(shingle).bit_length()))
     index = np.arange(len(shingle), dtype=U64)
     low = (U64(1) << bits) - U64(1)
@@ -117,6 +126,113 @@ def _banded(a: list[int], b: list[int], left: int, right: int) -> int:
     return len(b) - v.bit_count()
 
 
+def _one_order(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Rank of each id: an order that all documents follow, if there is one."""
+    step = np.flatnonzero(doc[1:] == doc[:-1])
+    edges = np.unique(ids[step].astype(np.int64) * size + ids[step + 1])
+    start, end = np.divmod(edges, size)
+    waits = np.bincount(end, minlength=size)
+    free = np.flatnonzero(waits == 0).tolist()
+    by_place = iter(np.argsort(np.bincount(ids, place, size) / np.bincount(ids, minlength=size), kind="stable").tolist())
+    at, end, waits = np.searchsorted(start, np.arange(size + 1)).tolist(), end.tolist(), waits.tolist()
+    rank, done = [-1] * size, 0
+    while done < size:
+        # In a cycle the one that stands first on average goes on.
+        u = free.pop() if free else next(by_place)
+        if rank[u] >= 0:
+            continue
+        rank[u] = done
+        done += 1
+        for v in end[at[u] : at[u + 1]]:
+            waits[v] -= 1
+            if not waits[v] and rank[v] < 0:
+                free.append(v)
+    return np.array(rank, np.int64)
+
+
+def _rising(rank: list[int]) -> list[int]:
+    """Places of a longest rising subsequence."""
+    least, last, before = [], [], []
+    for i, r in enumerate(rank):
+        k = bisect_left(least, r)
+        before.append(last[k - 1] if k else -1)
+        least[k : k + 1], last[k : k + 1] = [r], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def linked(texts: list[np.ndarray], want: np.ndarray, least: float) -> np.ndarray:
+    """Which of the wanted pairs (``want[i, j]``) of shingle sequences are similar enough."""
+    out = np.zeros(want.shape, bool)
+    if want.sum() <= MANY:
+        for i, j in np.argwhere(want).tolist():
+            out[i, j] = aligned_similarity(texts[i], texts[j], least) > 0
+        return out
+    n = np.array([len(t) for t in texts])
+    doc = np.repeat(np.arange(len(n)), n)
+    place = ragged.ranges(np.zeros(len(n), np.int64), n)
+    _, ids, crowd = np.unique(_labelled(np.concatenate(texts), doc), return_inverse=True, return_counts=True)
+    keep = crowd[ids] > 1  # the others are in no pair's common part
+    doc, place = doc[keep], place[keep]
+    _, ids = np.unique(ids[keep], return_inverse=True)
+    size = int(ids.max()) + 1 if len(ids) else 0
+    rank = _one_order(ids, doc, place, size)[ids] if size else ids
+    firm = np.ones(len(ids), bool)
+    bad = np.flatnonzero((doc[1:] == doc[:-1]) & (rank[1:] <= rank[:-1]))
+    off = np.searchsorted(doc, np.arange(len(n) + 1))
+    for d in np.unique(doc[bad]).tolist():
+        firm[off[d] : off[d + 1]] = False
+        firm[off[d] + np.array(_rising(rank[off[d] : off[d + 1]].tolist()), np.int64)] = True
+    chunks = [(r, c) for at in range(0, len(n), 128) if len(r := at + np.flatnonzero(want[at : at + 128].any(1))) and len(c := np.flatnonzero(want[r].any(0)))]
+
+    def common(which: np.ndarray) -> np.ndarray:
+        total = np.zeros(want.shape, np.float32)
+        order = which[np.argsort(ids[which], kind="stable")]
+        cuts = np.searchsorted(ids[order], np.arange(0, size + COLUMNS, COLUMNS))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            x = np.zeros((len(n), min(COLUMNS, size - k * COLUMNS)), np.float32)
+            x[doc[order[lo:hi]], ids[order[lo:hi]] - k * COLUMNS] = 1
+            for r, c in chunks:
+                total[np.ix_(r, c)] += x[r] @ x[c].T
+        return total
+
+    need = np.ceil(least / (1 + least) * (n[:, None] + n[None, :]) - 1e-9)
+    most = common(np.arange(len(ids)))
+    sure = most if firm.all() else common(np.flatnonzero(firm))
+    out = want & (sure >= need)
+    for i, j in np.argwhere(want & (most >= need) & ~out).tolist():
+        out[i, j] = aligned_similarity(texts[i], texts[j], least) > 0
+    return out
+
+
+def _untried(earlier: list[np.ndarray], right: np.ndarray, cross: bool) -> np.ndarray:
+    """Pairs of a block, or across two, that no earlier key has."""
+    want = ~right[:, None] & right[None, :] if cross else np.triu(np.ones((len(right),) * 2, bool), 1)
+    doc = np.repeat(np.arange(len(earlier)), [len(e) for e in earlier])
+    key = np.concatenate(earlier)
+    order = np.argsort(key, kind="stable")
+    for own in np.split(doc[order], np.flatnonzero(np.diff(key[order])) + 1):
+        if len(own) > 1:
+            want[np.ix_(own, own)] = False
+    return want
+
+
+def _stars(links: np.ndarray) -> np.ndarray:
+    """For each member the first of those it is linked with, directly or through others."""
+    both = links | links.T
+    root = np.full(len(both), -1)
+    for i in range(len(both)):
+        if root[i] < 0:
+            root[i], new = i, np.array([i])
+            while len(new):
+                new = np.flatnonzero(both[new].any(0) & (root < 0))
+                root[new] = i
+    return root
+
+
 def _sketches(docs: DataFrame, width: int, tables: int, picks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
@@ -128,14 +244,18 @@ def _sketches(docs: DataFrame, width: int, tables: int, picks: int) -> DataFrame
             ends = np.concatenate([[0], np.cumsum((n > 0) * tables)]).astype(np.int32)
             whole = [ragged.span_hash(data, off[:-1], off[1:], k).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(whole[0]), pa.array(whole[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))], ["doc_id", "t1", "t2", "keys"]
+                [batch.column("doc_id").cast(pa.int64()), pa.array(whole[0]), pa.array(whole[1]), pa.array(np.diff(by_text).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))],
+                ["doc_id", "t1", "t2", "n_words", "keys"],
             )
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, keys array<long>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, n_words long, keys array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are similar enough, with their similarity."""
+def _links(docs: DataFrame, own: DataFrame, width: int, least: float) -> DataFrame:
+    """``doc_id, root, n``: the ``n`` links of a text that one block gave, and a text linked with it through links of the block.
+
+    ``own`` has the keys of each text with their numbers of blocks, in order.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
@@ -144,35 +264,40 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> Da
             raw, ends = (ragged.span_hash(data, start, end) >> U64(32)).astype("<u4").tobytes(), (4 * by).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[i:j] for i, j in zip(ends, ends[1:])], pa.binary())], ["doc_id", "words"])
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sequence(words: pa.Scalar) -> np.ndarray:
-            h = np.frombuffer(words.as_py(), "<u4").astype(U64)
-            return shingles(ragged.mix(h), np.array([0, len(h)]), width)[0]
-
-        for batch in batches:
-            similarity, last, left = [], None, np.empty(0)
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("words_a"), batch.column("words_b")):
-                if a != last:
-                    last, left = a, sequence(x)
-                similarity.append(aligned_similarity(left, sequence(y), least))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similarity, pa.float64())], ["a", "b", "similarity"])
+    def block(rows: pa.Table) -> pa.Table:
+        right = np.array(rows.column("other").to_pylist(), bool)
+        earlier = [np.array(e, np.int64) for e in rows.column("earlier").to_pylist()]
+        # Members with the commonest earlier key last: among them all pairs are tried, and products leave them out.
+        names, counts = np.unique(np.concatenate(earlier), return_counts=True)
+        if len(names):
+            order = np.argsort([names[counts.argmax()] in e for e in earlier], kind="stable")
+            rows, right, earlier = rows.take(pa.array(order)), right[order], [earlier[i] for i in order]
+        ids, links = rows.column("doc_id").to_numpy(), np.zeros((len(right),) * 2, bool)
+        want = _untried(earlier, right, bool(rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()))
+        if want.any():
+            used = np.flatnonzero(want.any(0) | want.any(1))
+            hashes = (np.frombuffer(w.as_py(), "<u4").astype(U64) for w in rows.column("words").take(pa.array(used)))
+            texts = [shingles(ragged.mix(h), np.array([0, len(h)]), width)[0] for h in hashes]
+            links[np.ix_(used, used)] = linked(texts, want[np.ix_(used, used)], least)
+        n = links.sum(0) + links.sum(1)
+        some = np.flatnonzero(n)
+        return pa.table([ids[some], ids[_stars(links)[some]], n[some].astype(np.int64)], ["doc_id", "root", "n"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # Always a shuffled join: the wanted ids grow with the documents, so the plan shouldn't change with size.
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, words binary")
-    words = written(words, "words")
-    both = pairs.join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b")), "b")
-    both = both.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a")), "a")
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a long, b long, similarity double").where(F.col("similarity") >= least)
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, words binary")
+    one = own.join(words, "doc_id").select("doc_id", "words", "all", F.explode("all").alias("one"))
+    one = one.select("doc_id", "words", F.col("one.key").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("one.blocks")).alias("g"), F.expr("sequence(0L, one.blocks - 1)").alias("hs"), F.expr("transform(filter(all, x -> x.key < one.key), x -> x.key)").alias("earlier"))
+    units = one.select("doc_id", "words", "key", "earlier", "g", F.explode("hs").alias("h")).select("doc_id", "words", "key", "earlier", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"), (F.col("g") > F.col("h")).alias("other"))
+    return units.groupBy("key", "lo", "hi").applyInArrow(lambda rows: block(rows), "doc_id long, root long, n long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, n_copies``.
 
     ``class_id`` is the smallest id of the documents linked with it, directly or through others; a document
     without near duplicates is its own class.  Equal texts (null counts as empty) are in one class, and are
-    compared with others once, by their smallest id.  ``n_links`` counts the other texts found within
-    ``similarity``; ``n_copies`` the documents with this very text.  Words are runs without white space; a
+    compared with others once, by their smallest id.  ``n_links`` counts the other texts within ``similarity``
+    among those that share a key; ``n_copies`` the documents with this very text.  Words are runs without white space; a
     text below ``width`` words is one shingle, so it only matches texts of the same words; a text without
     words only its equals.  Rows that repeat an id are one document; one with a null id is alone and
     gets a null class.  An empty table gives no rows; other columns are ignored.
@@ -184,30 +309,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     member = sketch.select("doc_id", "t1", "t2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["t1", "t2", "salt"])
     member = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_copies").alias("n_copies"))
     member = written(member, "members")
-    reps = sketch.join(texts.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
-    crowd = reps.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(reps.join(crowd, "key"), "shared")
-    # Texts that share keys with many others lead: of a text and its edited copies, mostly the text.
-    rank = shared.groupBy("doc_id").agg(F.sum("n").alias("n")).select("doc_id", F.struct("n", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("leader")).alias("rank"))
-    bucket = shared.select("key", "doc_id").join(rank, "doc_id")
-    bucket = written(bucket.join(bucket.groupBy("key").agg(F.max("rank").alias("first")), "key").select("key", "doc_id", F.col("first.leader").alias("leader")), "buckets")
-    pairs = written(bucket.where("doc_id != leader").select(F.greatest("doc_id", "leader").alias("a"), F.least("doc_id", "leader").alias("b")).distinct(), "pairs")
-    tried = pairs
-    links = written(_verified(docs, pairs, width, similarity), "links")
-    for turn in range(1, rounds):
-        label = connected_components(links, "a", "b", written)
-        named = bucket.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        drawn = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("d"))
-        one = named.groupBy("key", "component").agg(F.max(drawn).alias("m"))
-        open_ = one.groupBy("key").agg(F.max("m").alias("l"), F.count("*").alias("n")).where("n > 1")
-        more = one.join(open_, "key").where("m.d != l.d").select(F.greatest("m.d", "l.d").alias("a"), F.least("m.d", "l.d").alias("b")).distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        tried = tried.unionAll(more)
-        links = links.unionAll(written(_verified(docs, more, width, similarity), "links"))
-    label = connected_components(links, "a", "b", written)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    reps = sketch.join(texts.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select("doc_id", "n_words", F.explode("keys").alias("key"))
+    reps = written(reps.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words")), "keys")
+    crowd = reps.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("h1"), F.expr("bit_xor(xxhash64(doc_id, 2))").alias("h2")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("n_words") / BLOCK_WORDS)).cast("long")
+    kept = crowd.groupBy("n", "n_words", "h1", "h2").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))
+    shared = reps.select("doc_id", "key").join(kept, "key")
+    own = written(shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("all")), "shared")
+    links = written(_links(docs, own, width, similarity), "links")
+    label = connected_components(links.where("doc_id != root"), "doc_id", "root", written)
+    degree = links.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n").alias("n_links"))
     found = member.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     out = found.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
     alone = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))

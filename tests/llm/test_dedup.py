@@ -120,6 +120,63 @@ def test_near_duplicates(spark, docs, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def edited_copies(count, words, edits, seed):
+    """Copies of one text that is not among them, each with its own words at some places."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, out = [word() for _ in range(words)], []
+    for _ in range(count):
+        w = list(base)
+        for k in rng.sample(range(words), edits):
+            w[k] = word()
+        out.append(" ".join(w))
+    return out
+
+
+def sequences(texts):
+    words = [np.array([int(hashlib.sha256(w.encode()).hexdigest()[:15], 16) for w in t.split()], np.uint64) for t in texts]
+    return [neardup.shingles(w, np.array([0, len(w)]), 5)[0] for w in words]
+
+
+def test_blocks_equal_alignment():
+    rng = random.Random(3)
+    texts = [t.split() for t in edited_copies(40, 120, 2, 1)]
+    for k, t in enumerate(texts):
+        if k % 3 == 1:  # passages in another order, which only alignment decides
+            cut, to = rng.randrange(20, 100), rng.randrange(3, 18)
+            t[:] = t[cut : cut + to] + t[:cut] + t[cut + to :]
+        if k % 7 == 2:
+            t[50:50] = t[:12] * 2
+    seqs = sequences(" ".join(t) for t in texts)
+    want = np.triu(np.ones((40, 40), bool), 1)
+    got = neardup.linked(seqs, want, 0.8)
+    assert (got == [[i < j and neardup.aligned_similarity(seqs[i], seqs[j], 0.8) > 0 for j in range(40)] for i in range(40)]).all() and 0 < got.sum() < want.sum()
+
+
+def test_group_without_its_original(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 64)
+    texts = edited_copies(300, 300, 4, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = [set(r["keys"]) for r in sorted(neardup._sketches(docs, 5, neardup.TABLES, neardup.PICKS).collect(), key=lambda r: r.doc_id)]
+    seqs = sequences(texts)
+    parent, links = list(range(300)), [0] * 300
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(300):
+        for j in range(i):
+            if keys[i] & keys[j] and neardup.aligned_similarity(seqs[i], seqs[j], 0.8):
+                links[i] += 1
+                links[j] += 1
+                lo, hi = sorted((root(i), root(j)))
+                parent[hi] = lo
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: (root(i), links[i]) for i in range(300)}
+
+
 def test_hash_check_falls_back_to_bytes(monkeypatch):
     import pyarrow as pa
 
