@@ -279,6 +279,9 @@ def _links(docs: DataFrame, own: DataFrame, width: int, least: float) -> DataFra
             hashes = (np.frombuffer(w.as_py(), "<u4").astype(U64) for w in rows.column("words").take(pa.array(used)))
             texts = [shingles(ragged.mix(h), np.array([0, len(h)]), width)[0] for h in hashes]
             links[np.ix_(used, used)] = linked(texts, want[np.ix_(used, used)], least)
+            del texts
+        if len(right) > MANY or rows.nbytes > 1 << 20:
+            ragged.release()  # workers are used again, by other operators too
         n = links.sum(0) + links.sum(1)
         some = np.flatnonzero(n)
         return pa.table([ids[some], ids[_stars(links)[some]], n[some].astype(np.int64)], ["doc_id", "root", "n"])

@@ -1,5 +1,6 @@
 """Toxicity, nearest neighbours, the pipeline, and the registered queries."""
 
+import random
 import zlib
 
 import numpy as np
@@ -100,6 +101,19 @@ def test_pipeline_stages(spark):
     assert got == want
 
 
+def test_near_dedup_stage_without_the_original(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(500):
+        w = list(base)
+        for k in rng.sample(range(300), 4):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()] == [0]
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
