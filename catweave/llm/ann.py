@@ -175,17 +175,25 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if rows.num_rows and queries.num_rows:
             ids, m = rows.column("vec_id").to_numpy(), _matrix(rows.column("v").combine_chunks())
+            order = np.argsort(ids, kind="stable")
+            ids, m = ids[order], m[order]
+            # Places are taken by ids, not rows: the best of an id's rows counts.
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            one, row_of = ids[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
             names, q = queries.column("query_id").to_numpy(), _matrix(queries.column("v").combine_chunks())
             slack = 1e-9 * float(np.abs(m).max() * np.abs(q).max()) * size
             for at in range(0, len(names), 256):
                 near = q[at : at + 256] @ m.T
-                for i, s in enumerate(near, at):
-                    s[ids == names[i]] = -np.inf
+                top = near if len(one) == len(ids) else np.maximum.reduceat(near, first, axis=1)
+                for i, (s, t) in enumerate(zip(near, top), at):
+                    t[one == names[i]] = -np.inf
                     # What rounding may move across the last place is kept, then scored row by row in a fixed order.
-                    floor = np.partition(s, -k)[-k] - slack if len(s) > k else -np.inf
-                    best = np.flatnonzero((s >= floor) & (s > -np.inf))
+                    floor = np.partition(t, -k)[-k] - slack if len(t) > k else -np.inf
+                    best = np.flatnonzero((s >= floor) & (t > -np.inf)[row_of])
                     exact = (m[best] * q[i]).sum(1)
-                    best, exact = best[o := np.lexsort((ids[best], -exact))[:k]], exact[o]
+                    best, exact = best[o := np.lexsort((ids[best], -exact))], exact[o]
+                    o = np.sort(np.unique(ids[best], return_index=True)[1])[:k]
+                    best, exact = best[o], exact[o]
                     out.append((np.full(len(best), names[i]), ids[best], exact))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(cols, ["query_id", "vec_id", "score"])

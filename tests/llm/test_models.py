@@ -80,6 +80,19 @@ def test_neighbours_odd_rows(spark, monkeypatch):
     assert ann.search(df.where("vec_id IN (20, 21)"), F.col("vec_id") % 20 == 0).count() == 1
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(120)]
+    rows += rows  # every row twice
+    rows += [(7, rows[7][1])] * 200 + [(7, [9.0 + x / 100] * 8) for x in range(30)]  # one id many times, with other vectors too
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.search(df, F.col("vec_id") % 20 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert got.keys() == {0, 20, 40, 60, 80, 100}
+    assert all([r for r, _ in g] == list(range(1, 21)) and len({i for _, i in g}) == 20 for g in got.values())
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SMALL, "documents")
     columns = docs.columns
