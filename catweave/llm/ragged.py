@@ -1,15 +1,17 @@
 """Vectorised work on many texts at once: one byte buffer plus offsets, no loop per text.
 
 A batch of texts is a ``(data, offsets)`` pair: the UTF-8 bytes end to end and where each text
-begins.  Substrings are ``(start, end)`` index arrays into ``data``.  Hashes are polynomial prefix
-hashes modulo 2**64 (differences of a running sum, divided by a power of the odd base), mixed at
-the end, so the hash of any substring costs two lookups.
+begins.  Substrings are ``(start, end)`` index arrays into ``data``.  A substring is hashed eight bytes
+at a time, its length first, every step through a mixing function that is no linear map; one of up to
+eight bytes has a hash of its own among those of its length.  Windows of numbers are hashed by joining
+the hashes of their halves.  Equal hashes are no proof: ``distinct`` compares the bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,24 +25,11 @@ SPANS = 1 << 15
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, (2, 256), dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of a base and of its inverse, kept between calls."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        base = _BASE[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(max(n, 1 << 16), b, U64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        have = _POWERS[which] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_SEED = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+_JOIN = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+#: Bytes from which a span is hashed, or compared, by itself.
+LONG = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,49 +102,95 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each ``data[start:end]`` (starts and ends ascending).
+def _octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
-    ``which`` selects one of two independent hashes.  Spans are hashed some at a time, so that the running
-    sums stay in the processor's cache.
-    """
-    out = np.empty(len(start), U64)
-    for k in range(0, len(start), SPANS):
-        s, e = start[k : k + SPANS], end[k : k + SPANS]
-        a, b = int(s[0]), int(e[-1])
-        up, down = powers(which, b - a + 1)
-        run = np.empty(b - a + 1, U64)
-        run[0] = 0
-        np.cumsum(_BYTE[which][data[a:b]] * up[:-1], out=run[1:])
-        out[k : k + SPANS] = mix((run[e - a] - run[s - a]) * down[s - a] + (e - s).astype(U64))
+
+def _steps(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of eight bytes: which spans reach it, where it starts, and the mask of what is theirs."""
+    which, at = np.flatnonzero(size), 0
+    while len(which):
+        left = size[which] - at
+        yield which, start[which] + at, _KEEP[np.minimum(left, 8)]
+        which, at = which[left > 8], at + 8
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``data[start:end]``; ``which`` selects one of two independent hashes."""
+    size = end - start
+    out = mix(size.astype(U64) + _SEED[which])
+    eight = _octets(data)
+    for k in range(0, len(size), SPANS):
+        part, n = out[k : k + SPANS], size[k : k + SPANS]
+        for own, at, keep in _steps(start[k : k + SPANS], np.where(n < LONG, n, 0)):
+            part[own] = mix(part[own] ^ (eight[at] & keep))
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes((which,))).digest(), "little")
     return out
 
 
+def digests(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A cryptographic hash of 128 bits of each text, as two numbers."""
+    raw, ends = data.tobytes(), off.tolist()
+    both = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])), np.int64)
+    return both[::2], both[1::2]
+
+
+def _joined(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    x = a * _JOIN[which]
+    x += b
+    x ^= x >> U64(32)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(29)
+    return x
+
+
 def window_hash(values: np.ndarray, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of ``values[i:i + length]`` for each ``i`` in ``at`` (ascending)."""
+    """A 64-bit hash of ``values[i:i + length]`` for each ``i`` in ``at`` (ascending).
+
+    Windows of powers of two are joined from their halves; a window of another length from the powers that
+    its length is made of.  Places are worked on some at a time, so that all levels stay in the processor's cache.
+    """
     out = np.empty(len(at), U64)
     for k in range(0, len(at), SPANS):
         s = at[k : k + SPANS]
-        a, b = int(s[0]), int(s[-1]) + length
-        up, down = powers(which, b - a + 1)
-        run = np.empty(b - a + 1, U64)
-        run[0] = 0
-        np.cumsum(values[a:b] * up[:-1], out=run[1:])
-        out[k : k + SPANS] = mix((run[s - a + length] - run[s - a]) * down[s - a] + U64(length))
+        base = int(s[0])
+        level, size, have, reach = values[base : int(s[-1]) + length], 1, None, length
+        while reach:  # from the smallest power to the largest, the last words of a window first
+            if length & size:
+                reach -= size
+                part = level[s - base + reach]
+                have = part if have is None else _joined(part, have, which)
+            if reach:
+                level, size = _joined(level[:-size], level[size:], which), 2 * size
+        out[k : k + SPANS] = mix(have + _SEED[which])
     return out
 
 
+def same_bytes(data: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray) -> bool:
+    """Whether ``data[first:first + size]`` equals ``data[second:second + size]`` for all spans."""
+    eight = _octets(data)
+    short = np.where(size < LONG, size, 0)
+    for own, at, keep in _steps(first, short):
+        if ((eight[at] ^ eight[second[own] + at - first[own]]) & keep).any():
+            return False
+    return all(np.array_equal(data[first[i] : first[i] + size[i]], data[second[i] : second[i] + size[i]]) for i in np.flatnonzero(size >= LONG).tolist())
+
+
 def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(which, inverse)``: the index of one span for each distinct string, and each span's entry.
 
-    Spans are grouped by one hash and checked by a second, independent one; should they ever
-    disagree, the strings themselves decide.
+    Spans are grouped by a hash, and each is compared with the first of its group, byte by byte; should
+    one differ, the strings themselves make the groups.
     """
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     _, first, inverse = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
-    other = span_hash(data, start, end, 1)
-    if not np.array_equal(other, other[first][inverse]):
+    size, like = end - start, first[inverse]
+    if not (np.array_equal(size, size[like]) and same_bytes(data, start, start[like], size)):
         seen: dict[bytes, int] = {}
         raw = data.tobytes()
         inverse = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(start.tolist(), end.tolist())])
