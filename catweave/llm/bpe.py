@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from . import pretoken, ragged
 
-#: Distinct fragments that a worker remembers between batches.
-CACHE = 250_000
+#: Distinct fragments that a worker remembers between batches, and the bytes of the longest of them.
+CACHE, SHORT = 250_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,6 +40,8 @@ class ByteBpe:
         letters = byte_letters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that take their surroundings are not supported")
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.tokens: list[bytes] = [b""] * size
         for word, i in vocab.items():
@@ -48,7 +50,10 @@ class ByteBpe:
         for word, i in self.special.items():
             self.tokens[i] = word.encode()
         ranks = {t: i for i, t in enumerate(self.tokens) if t and i not in self.special.values()}
-        # Ids rise in merge order, so an id is its merge's rank.
+        # The merge loop takes an id as its merge's rank, so ids must rise in merge order.
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(b <= a for a, b in zip(made, made[1:])) or made and made[0] <= max(i for t, i in ranks.items() if len(t) == 1):
+            raise ValueError(f"{path}: the ids don't rise in merge order")
         self.merge = tiktoken.Encoding("fragments", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.joined = np.zeros((256, 256), bool)
         for token in self.tokens:
@@ -62,12 +67,11 @@ class ByteBpe:
 
     def fragments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of the fragments, and fragment offsets by text."""
-        start, end, _ = pretoken.spans(data, off)
+        start, end, _ = pretoken.spans(data, off, self.preset)
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = ~self.joined[data[:-1], data[1:]] if len(data) > 1 else False
-        for word in self.preset:
-            for i in pretoken._occurrences(data, off, word).tolist():
-                cut[i + 1 : i + len(word)] = False
+        for i, size in pretoken.occurrences(data, off, self.preset):
+            cut[i + 1 : i + size] = False
         cut[start] = True
         start = np.flatnonzero(cut[:-1])
         return start, np.append(start[1:], len(data)), np.searchsorted(start, off)
@@ -82,7 +86,9 @@ class ByteBpe:
         for s in ragged.strings(data, start[which], end[which]):
             ids = known.get(s)
             if ids is None:
-                ids = known[s] = array("I", preset.get(s) or self.merge(s)).tobytes()
+                ids = array("I", preset.get(s) or self.merge(s)).tobytes()
+                if len(s) <= SHORT:
+                    known[s] = ids
             out.append(ids)
         size = np.fromiter(map(len, out), np.int64, len(out)) // 4
         flat = np.frombuffer(b"".join(out), np.uint32)

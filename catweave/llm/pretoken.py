@@ -14,6 +14,8 @@ prefix scan in log2(chunks) steps, and a second run from the then known states e
 from __future__ import annotations
 
 import functools
+import re
+from collections.abc import Collection
 
 import numpy as np
 import regex
@@ -152,17 +154,16 @@ def scan(symbols: np.ndarray) -> np.ndarray:
     return marks.T.reshape(-1)[:n]
 
 
-def spans(data: np.ndarray, off: np.ndarray, special: bytes = b"<|endoftext|>") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, off: np.ndarray, special: Collection[bytes] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each pre-token in UTF-8 ``data``, and pre-token offsets by text.
 
-    ``special`` inside a text is a pre-token of its own, and the text goes on anew after it.
+    A string of ``special`` inside a text is a pre-token of its own, and the text goes on anew after it.
     """
     at, cp = code_points(data)
     kind = classes()[cp]
-    found = _occurrences(data, off, special)
-    inside = np.searchsorted(at, found)
-    for i in inside.tolist():
-        kind[i : i + len(special)] = STOP
+    inside = [tuple(np.searchsorted(at, (i, i + size)).tolist()) for i, size in occurrences(data, off, special)]
+    for i, j in inside:
+        kind[i:j] = STOP
     text = np.searchsorted(at, off)  # texts by character
     n = len(off) - 1
     symbols = np.empty(len(at) + n, np.uint8)
@@ -175,22 +176,25 @@ def spans(data: np.ndarray, off: np.ndarray, special: bytes = b"<|endoftext|>")
     here = (marks & HERE) > 0
     here[:-1] |= (marks[1:] & BEFORE) > 0
     begin = here[keep]
-    for i in inside.tolist():
-        begin[i : i + len(special)] = False
+    for i, j in inside:
+        begin[i:j] = False
         begin[i] = True
     start = at[begin]
     end = np.append(start[1:], len(data))
     return start, end, np.searchsorted(start, off)
 
 
-def _occurrences(data: np.ndarray, off: np.ndarray, what: bytes) -> np.ndarray:
-    raw, out, i = data.tobytes(), [], 0
-    i = raw.find(what)
-    while i >= 0:
-        text = int(np.searchsorted(off, i, "right")) - 1
-        if i + len(what) <= off[text + 1]:
-            out.append(i)
-            i = raw.find(what, i + len(what))
+def occurrences(data: np.ndarray, off: np.ndarray, special: Collection[bytes]) -> list[tuple[int, int]]:
+    """Where the strings stand in the texts, and their sizes: leftmost first, the longest of those that begin together."""
+    out: list[tuple[int, int]] = []
+    if not special:
+        return out
+    pattern, raw, i = re.compile(b"|".join(re.escape(w) for w in sorted(special, key=len, reverse=True))), data.tobytes(), 0
+    while m := pattern.search(raw, i):
+        text = int(np.searchsorted(off, m.start(), "right")) - 1
+        if m.end() <= off[text + 1]:
+            out.append((m.start(), m.end() - m.start()))
+            i = m.end()
         else:
-            i = raw.find(what, i + 1)
-    return np.array(out, np.int64)
+            i = m.start() + 1
+    return out
