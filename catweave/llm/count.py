@@ -11,6 +11,12 @@ count there relative to now.  The last token of the encoding of a prefix is the
 there and whose predecessor, in the encoding of what precedes it, is compatible with it: the pair
 encodes to itself.  So the next state follows from the state and the byte alone.  States are
 determinised when first reached and forgotten together when there are too many.
+
+A pre-token is cut into pieces at any bytes.  A piece's state map gives for a state before it the state
+after it and the tokens counted between; it has too many states to list, so it begins with the one that the
+bytes just before the piece lead to from the start, found for every piece apart from the others.  A prefix
+scan composes the maps in log2(pieces) steps; a map that lacks a state which the composition asks for gets
+it then.  Pieces of equal bytes share a map.
 """
 
 from __future__ import annotations
@@ -25,8 +31,12 @@ from pyspark.sql import DataFrame
 from . import pretoken, ragged
 from .bpe import vocabulary
 
-#: Transitions, and counted pre-tokens, that a worker keeps.
-MOST = 600_000
+#: Transitions, and counted pre-tokens, that a worker keeps, and the bytes of the longest of these.
+MOST, SHORT = 600_000, 64
+#: Bytes of a piece, bytes before it that its state is guessed from, and pieces of one scan.
+PIECE, BEFORE, PIECES = 64, 16, 1024
+
+Step = tuple[int, int]  # the state after, and the tokens counted
 
 
 class CountingTransducer:
@@ -52,7 +62,8 @@ class CountingTransducer:
         first = ((0, -1, 0),)
         self.states: dict[tuple, int] = {first: 0}
         self.open = [first]
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, Step] = {}
+        self.maps: dict[bytes, dict[int, Step]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         if a < 0:
@@ -75,30 +86,78 @@ class CountingTransducer:
                 if last < 0 and token >= 0 and self.compatible(before, token):
                     last, grow = token, count + 1
         key = (*((n, b, c - grow) for n, b, c in live), (0, last, 0))
+        out = self.moves[state << 8 | byte] = self.state(key), grow
+        return out
+
+    def state(self, key: tuple) -> int:
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.open)
             self.open.append(key)
-        out = self.moves[state << 8 | byte] = to, grow
-        return out
+        return to
 
-    def count(self, word: bytes) -> int:
-        """Tokens of one pre-token."""
-        if len(self.moves) > MOST:
-            self.forget()
-        state = total = 0
+    def run(self, piece: bytes, state: int = 0) -> Step:
+        total = 0
         get = self.moves.get
-        for b in word:
+        for b in piece:
             step = get(state << 8 | b)
             if step is None:
                 step = self.move(state, b)
             state, n = step
             total += n
+        return state, total
+
+    def through(self, pieces: list[bytes], state: int) -> Step:
+        """A value of the map of consecutive pieces."""
+        total = 0
+        for piece in pieces:
+            known = self.maps.setdefault(piece, {})
+            step = known.get(state)
+            if step is None:
+                step = known[state] = self.run(piece, state)
+            state, n = step
+            total += n
+        return state, total
+
+    def scan(self, pieces: list[bytes], state: int) -> Step:
+        """The state and count after consecutive pieces, by composing their maps."""
+        maps = [{state: self.through(pieces[:1], state)}]
+        for before, piece in zip(pieces, pieces[1:]):
+            guess = self.run(before[-BEFORE:])[0]
+            maps.append({guess: self.through([piece], guess)})
+        step = 1
+        while step < len(maps):  # the i-th map becomes that of the pieces from i - 2 * step + 1 to i
+            after = maps[:step]
+            for i in range(step, len(maps)):
+                out = {}
+                for entry, (middle, n) in maps[i - step].items():
+                    if middle not in maps[i]:
+                        maps[i][middle] = self.through(pieces[max(0, i - step + 1) : i + 1], middle)
+                    end, m = maps[i][middle]
+                    out[entry] = end, n + m
+                after.append(out)
+            maps, step = after, 2 * step
+        return maps[-1][state]
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one pre-token."""
+        if len(word) <= PIECE:
+            if len(self.moves) > MOST:
+                self.forget()
+            return self.run(word)[1]
+        total, state = 0, 0
+        for a in range(0, len(word), PIECE * PIECES):
+            if len(self.moves) > MOST or len(self.maps) > MOST // 8:
+                here = self.open[state]
+                self.forget()
+                state = self.state(here)
+            state, n = self.scan([word[i : i + PIECE] for i in range(a, min(a + PIECE * PIECES, len(word)), PIECE)], state)
+            total += n
         return total
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
-        start, end, by_text = pretoken.spans(data, off)
+        start, end, by_text = pretoken.spans(data, off, self.bpe.preset)
         which, inverse = ragged.distinct(data, start, end)
         if len(self.known) > MOST:
             self.known.clear()
@@ -106,7 +165,9 @@ class CountingTransducer:
         for s in ragged.strings(data, start[which], end[which]):
             n = known.get(s)
             if n is None:
-                n = known[s] = len(preset[s]) if s in preset else self.count(s)
+                n = len(preset[s]) if s in preset else self.count(s)
+                if len(s) <= SHORT:
+                    known[s] = n
             out.append(n)
         run = np.concatenate([[0], np.cumsum(np.array(out, np.int64)[inverse])]) if out else np.zeros(1, np.int64)
         return run[by_text[1:]] - run[by_text[:-1]]
