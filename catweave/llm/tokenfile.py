@@ -3,7 +3,7 @@
 A set of files is a folder of parts in ascending document order.  A part ``p`` has ``p.ids`` (its
 documents' ids end to end, little-endian unsigned 16 or 32 bits, whichever the vocabulary needs),
 ``p.off`` (64-bit offsets of its documents into ``p.ids``, one more than documents) and ``p.doc``
-(64-bit document ids).  Offsets are relative to the part; where a part begins in the whole sequence,
+(64-bit document ids; those of the first ``n_null`` documents are null).  Offsets are relative to the part; where a part begins in the whole sequence,
 its base, is the prefix sum of the parts before it.
 """
 
@@ -28,8 +28,8 @@ from . import ragged
 from .bpe import byte_letters
 from .common import scratch
 
-#: Distinct words that a worker remembers between batches.
-CACHE = 250_000
+#: Distinct words that a worker remembers between batches, and the bytes of the longest of them.
+CACHE, SHORT = 250_000, 64
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
 _LETTER = np.zeros(256, bool)
@@ -76,17 +76,19 @@ class WordEncoder:
         end = ends[np.searchsorted(ends, start, "right")]
         return low, start, end, np.searchsorted(start, off)
 
-    def _new(self, words: list[bytes]) -> None:
-        """Encode pieces seen for the first time; plain Latin letters need no normaliser or splitter."""
-        rest, token = [], self.library.model.tokenize
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces seen for the first time; plain Latin letters need no normaliser or splitter."""
+        rest, token, out = [], self.library.model.tokenize, {}
         for w in words:
             s = w.decode()
             if s.isalpha() and (s.isascii() or max(s) < "\u0250") and s == s.lower() and s.isascii() | unicodedata.is_normalized("NFC", s):
-                self.known[w] = array("I", [t.id for t in token(s if s.isascii() else w.decode("latin-1").translate(self.letters))]).tobytes()
+                out[w] = array("I", [t.id for t in token(s if s.isascii() else w.decode("latin-1").translate(self.letters))]).tobytes()
             else:
                 rest.append((w, s))
         for (w, _), e in zip(rest, self.library.encode_batch_fast([s for _, s in rest], add_special_tokens=False) if rest else []):
-            self.known[w] = array("I", e.ids).tobytes()
+            out[w] = array("I", e.ids).tobytes()
+        self.known.update((w, ids) for w, ids in out.items() if len(w) <= SHORT)
+        return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and id offsets by text."""
@@ -96,8 +98,8 @@ class WordEncoder:
             self.known.clear()
         found = ragged.strings(data, start[which], end[which])
         known = self.known
-        self._new([w for w in found if w not in known])
-        out = [known[w] for w in found]
+        new = self._new([w for w in found if w not in known])
+        out = [new[w] if w in new else known[w] for w in found]
         size = np.fromiter(map(len, out), np.int64, len(out)) // 4
         flat = np.frombuffer(b"".join(out), np.uint32)
         each = size[inverse]
@@ -124,8 +126,9 @@ def append_to_each(ids: np.ndarray, off: np.ndarray, last: int) -> tuple[np.ndar
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write the ids of all documents, each followed by ``end_id``; one row per part with its base.
 
-    Documents are ordered by ``doc_id`` (null first), equal ids by text; a null or empty text gives the
-    end id alone; an empty table gives no part.  A part's files get their names when they are whole, and
+    Documents are ordered by ``doc_id`` (null first), equal ids by a hash of the text; a null or empty text
+    gives the end id alone; texts of any length are encoded whole; repeated rows are written each; an empty
+    table gives no part; other columns are ignored.  A part's files get their names when they are whole, and
     a task that is run again writes the same bytes.  ``folder`` is a place that all executors see.
     """
     spark = docs.sparkSession
@@ -137,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
         store, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         name = f"{root}/part-{task.partitionId():06d}"
-        n_docs = at = 0
+        n_docs = n_null = at = 0
         sinks = {}
         for batch in ragged.slices(batches):
             if not sinks:
@@ -146,23 +149,24 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
             ids, off = append_to_each(*words.encode(*ragged.texts(batch.column("text"))), end_id)
             sinks["ids"].write(ids.astype(kind).tobytes())
             sinks["off"].write((off[1:] + at).astype("<i8").tobytes())
-            sinks["doc"].write(batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            sinks["doc"].write(batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             at += len(ids)
             n_docs += batch.num_rows
+            n_null += batch.column("doc_id").null_count
         for x, sink in sinks.items():
             sink.close()
             store.move(f"{name}.{x}.{task.taskAttemptId()}", f"{name}.{x}")
         if sinks:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task.partitionId()], pa.int64()), pa.array([f"{folder}/part-{task.partitionId():06d}"]), pa.array([kind]), pa.array([n_docs], pa.int64()), pa.array([at], pa.int64())],
-                ["part", "file", "kind", "n_docs", "n_ids"],
+                [pa.array([task.partitionId()], pa.int64()), pa.array([f"{folder}/part-{task.partitionId():06d}"]), pa.array([kind]), pa.array([n_docs], pa.int64()), pa.array([n_null], pa.int64()), pa.array([at], pa.int64())],
+                ["part", "file", "kind", "n_docs", "n_null", "n_ids"],
             )
 
     parts = (
         docs.select("doc_id", "text")
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(run, "part long, file string, kind string, n_docs long, n_ids long")
+        .mapInArrow(run, "part long, file string, kind string, n_docs long, n_null long, n_ids long")
     )
     index = f"{scratch(spark, 'token-index')}/table"
     parts.write.parquet(index)
@@ -181,7 +185,10 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 
 
 def read_token_files(parts: DataFrame) -> DataFrame:
-    """One row per document of the files that ``parts`` lists: where its ids start, how many, their CRC."""
+    """One row per document of the files that ``parts`` lists: where its ids start, how many, their CRC.
+
+    Each part is read in a task of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +199,11 @@ def read_token_files(parts: DataFrame) -> DataFrame:
                     chunk = ids[at[0] : at[-1]].astype("<u4").tobytes()
                     crc = [zlib.crc32(chunk[4 * (i - at[0]) : 4 * (j - at[0])]) for i, j in zip(at, at[1:])]
                     name = np.array(doc[a : a + 4096])
+                    null = np.arange(a, a + len(name)) < row["n_null"]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(name, pa.int64(), mask=name == -(2**63)), pa.array(np.array(at[:-1]) + row["base"], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
+                        [pa.array(name, pa.int64(), mask=null), pa.array(np.array(at[:-1]) + row["base"], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return parts.repartition("part").select("file", "kind", "n_docs", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number of partitions that is asked for is kept, where one left open would be made one.
+    return parts.repartition(max(1, parts.count())).select("file", "kind", "n_docs", "n_null", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -54,6 +54,42 @@ def test_scan_of_chunks_equals_one_run(strange):
     assert all(np.array_equal(a, b) for a, b in zip(whole, pieces))
 
 
+@pytest.mark.parametrize("piece, pieces, most", [(1, 4, 600_000), (1, 1000, 50), (3, 7, 600_000), (64, 2, 100)])
+def test_counts_of_pieces_cut_anywhere(strange, monkeypatch, piece, pieces, most):
+    monkeypatch.setattr(count, "PIECE", piece)
+    monkeypatch.setattr(count, "PIECES", pieces)
+    monkeypatch.setattr(count, "MOST", most)
+    rng = random.Random(9)
+    texts = [*strange[:600], *strange[-3:], *("".join(rng.choices("abcdethrsnäé", k=rng.randint(1, 400))) for _ in range(60)), "the" * 500]
+    machine = count.CountingTransducer(BYTE)
+    got = machine.counts(*ragged.texts(pa.array(texts)))
+    assert got.tolist() == [len(w) for w in reference(BYTE, texts)]
+
+
+def twins():
+    """Different texts that every polynomial hash modulo a power of two takes for equal, and near relatives."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    return [one, other, one, f"x {one} y", f"x {other} y", one[:512], other[:512], " ".join(one), " ".join(other)]
+
+
+def test_texts_that_weak_hashes_confuse(spark):
+    texts = twins()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    byte, word = reference(BYTE, texts), reference(WORD, texts)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert {tuple(r) for r in bpe.encode_decode(df, BYTE).collect()} == {(i, len(w), sha(ids4(w)), sha(t.encode())) for i, (t, w) in enumerate(zip(texts, byte))}
+    assert {(r.doc_id, r.n_tokens) for r in count.token_counts(df, BYTE).collect()} == {(i, len(w)) for i, w in enumerate(byte)}
+    assert {(r.doc_id, r.ids_crc32) for r in tokenfile.read_token_files(tokenfile.write_token_files(df, WORD, 2)).collect()} == {(i, zlib.crc32(ids4([*w, 2]))) for i, w in enumerate(word)}
+    assert {(r.doc_id, r.ids_crc32) for r in packing.pack(df, BYTE, end_id=0).where("doc_tokens <= 1024").collect()} == {(i, zlib.crc32(ids4([*w, 0]))) for i, w in enumerate(byte) if len(w) < 1024}
+
+
+def test_least_id_is_no_null(spark):
+    df = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (None, "c d"), (2**63 - 1, None)], "doc_id long, text string")
+    got = sorted(tokenfile.read_token_files(tokenfile.write_token_files(df, WORD, 2)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -(2**63), 2**63 - 1]
+
+
 def test_cut_pairs_never_lie_in_a_token():
     v = bpe.vocabulary(BYTE)
     assert all(v.joined[a, b] for t in v.tokens for a, b in zip(t, t[1:])) and not v.joined.all()
