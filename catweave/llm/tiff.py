@@ -26,103 +26,123 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, ST
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, FORMAT = 284, 317, 322, 323, 324, 325, 339
 
 
-def packbits_encode(raw: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(raw)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and raw[j] == raw[i]:
-            j += 1
-        if j - i > 2:
-            out += bytes((257 - (j - i), raw[i]))
-        else:
-            j = i + 1
-            while j < n and j - i < 128 and not (j + 2 < n and raw[j] == raw[j + 1] == raw[j + 2]):
-                j += 1
-            out.append(j - i - 1)
-            out += raw[i:j]
-        i = j
+def packbits_encode(raw: bytes, width: int | None = None) -> bytes:
+    """Runs of three bytes or more as such, the rest as it is; no packet goes on into another row of ``width`` bytes."""
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, width or len(raw) or 1)
+    width = rows.shape[1]
+    same = rows[:, 1:] == rows[:, :-1]
+    runs = (same[:, 1:] & same[:, :-1]).any(1) | (width > 128)
+    # Rows without a run are one packet each.
+    plain = np.concatenate([np.full((len(rows), 1), min(width, 128) - 1, np.uint8), rows], 1)
+    out, at = [], 0
+    for y in np.flatnonzero(runs).tolist():
+        out += [plain[at:y].tobytes(), _packed_row(rows[y])]
+        at = y + 1
+    return b"".join([*out, plain[at:].tobytes()])
+
+
+def _packed_row(row: np.ndarray) -> bytes:
+    start = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+    size = np.diff(np.append(start, len(row)))
+    raw, out, at = row.tobytes(), bytearray(), 0
+    for s, n in [*zip(start[size > 2].tolist(), size[size > 2].tolist()), (len(raw), 0)]:
+        for i in range(at, s, 128):
+            part = raw[i : min(i + 128, s)]
+            out += bytes((len(part) - 1,)) + part
+        at = s
+        while n > 1:
+            out += bytes((257 - min(n, 128), raw[s]))
+            at, n = at + min(n, 128), n - min(n, 128)
     return bytes(out)
 
 
 def packbits_decode(coded: bytes, size: int) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(coded) and len(out) < size:
+    out, i, n = [], 0, 0
+    while i < len(coded) and n < size:
         k = coded[i]
         if k < 128:
-            out += coded[i + 1 : i + 2 + k]
+            out.append(coded[i + 1 : i + 2 + k])
             i += 2 + k
+            n += k + 1
+        elif k == 128:
+            i += 1
         else:
-            if k > 128:
-                out += coded[i + 1 : i + 2] * (257 - k)
-            i += 2 if k > 128 else 1
-    return bytes(out)
+            out.append(coded[i + 1 : i + 2] * (257 - k))
+            i += 2
+            n += 257 - k
+    return b"".join(out)
+
+
+CLEAR, END, FULL = 256, 257, 4094
+#: Bits of the n-th code after a clear code, which is how many the table then needs, and where it begins.
+_BITS = np.array([min(12, (258 + n).bit_length()) for n in range(1 << 13)])
+_BEGIN = np.concatenate([[0], np.cumsum(_BITS)[:-1]])
+_SINGLE = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def lzw_encode(raw: bytes) -> bytes:
-    acc = held = 0
-    out, table, width, word = bytearray(), {}, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc, held = acc << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(acc >> held & 255)
-        acc &= (1 << held) - 1
-
-    put(256)
-    for b in raw:
-        more = word + bytes((b,))
-        if len(more) == 1 or more in table:
-            word = more
-            continue
-        put(table[word] if len(word) > 1 else word[0])
-        table[more] = 258 + len(table)
-        word = more[-1:]
-        size = 258 + len(table)
-        if size == 4094:
-            put(256)
-            table, width = {}, 9
-        elif size > (1 << width) - 1:
-            width += 1
-    if word:
-        put(table[word] if len(word) > 1 else word[0])
-        if 258 + len(table) + 1 > (1 << width) - 1 and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append(acc << 8 - held & 255)
-    return bytes(out)
+    """Codes of 9 to 12 bits, the table cleared when it is full."""
+    codes: list[int] = []
+    if raw:
+        put, table, size, word = codes.append, {}, 258, raw[0]
+        get = table.get
+        for b in raw[1:]:
+            key = word << 8 | b
+            longer = get(key)
+            if longer is not None:
+                word = longer
+                continue
+            put(word)
+            word, table[key] = b, size
+            size += 1
+            if size == FULL:
+                put(CLEAR)
+                table.clear()
+                size = 258
+        put(word)
+    codes.append(END)
+    bits = np.concatenate([[9], _BITS[np.arange(len(codes)) % (FULL - 258 + 1)]])
+    begin = np.cumsum(bits) - bits
+    value = np.array([CLEAR, *codes]) << 24 - bits - (begin & 7)
+    out = np.zeros(int(begin[-1] + bits[-1] + 7) // 8 + 2, np.uint8)
+    for k in range(3):  # the bits of different codes never overlap
+        np.add.at(out, (begin >> 3) + k, (value >> 16 - 8 * k & 255).astype(np.uint8))
+    return out[:-2].tobytes()
 
 
 def lzw_decode(coded: bytes, size: int) -> bytes:
-    single = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, before, out = list(single), 9, b"", bytearray()
-    acc = held = 0
-    for byte in coded:
-        acc, held = acc << 8 | byte, held + 8
-        while held >= width:
-            held -= width
-            code = acc >> held
-            acc &= (1 << held) - 1
-            if code == 256:
-                table, width, before = list(single), 9, b""
-                continue
-            if code == 257 or len(out) >= size:
-                return bytes(out)
+    data = np.concatenate([np.frombuffer(coded, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64)
+    total, at, out, n, going = 8 * len(coded), 0, [], 0, True
+    while going and n < size:
+        # The codes up to the next clear code have known sizes; beyond the list all have 12 bits.
+        count = int(np.searchsorted(_BEGIN + _BITS, total - at, "right"))
+        begin, bits = at + _BEGIN[:count], _BITS[:count]
+        if count == len(_BITS):
+            more = at + _BEGIN[-1] + 12 * np.arange(1, (total - at - int(_BEGIN[-1])) // 12)
+            begin, bits = np.concatenate([begin, more]), np.concatenate([bits, np.full(len(more), 12)])
+        place = begin >> 3
+        codes = (data[place] << 16 | data[place + 1] << 8 | data[place + 2]) >> 24 - bits - (begin & 7) & (1 << bits) - 1
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        end = int(stop[0]) if len(stop) else len(codes)
+        going = end < len(codes) and int(codes[end]) == CLEAR
+        if going:
+            at = int(begin[end] + bits[end])
+        table, before = list(_SINGLE), b""
+        for code in codes[:end].tolist():
             if code < len(table):
                 word = table[code]
             elif before and code == len(table):
                 word = before + before[:1]
             else:
                 raise ValueError("LZW code out of range")
-            out += word
-            if before:
+            out.append(word)
+            n += len(word)
+            if before and len(table) < 4096:
                 table.append(before + word[:1])
             before = word
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-    return bytes(out)
+            if n >= size:
+                break
+    return b"".join(out)
 
 
 def _decompress(kind: int, coded: bytes, size: int) -> bytes:
@@ -267,7 +287,7 @@ def write_tiff(pages: list[tuple[np.ndarray, int, int, tuple[int, int] | None]])
                 if predictor == 2:
                     part = np.diff(part, axis=1, prepend=np.uint8(0))
                 raw = part.tobytes()
-                coded = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode}.get(kind, lambda r: zlib.compress(r, 1))(raw)
+                coded = {NONE: bytes, PACKBITS: lambda r: packbits_encode(r, box_w), LZW: lzw_encode}.get(kind, lambda r: zlib.compress(r, 1))(raw)
                 at.append(len(out))
                 sizes.append(len(coded))
                 out += coded
@@ -321,25 +341,23 @@ def tiff_pages(media: DataFrame, column: str = "media", key: str = "doc_id") ->
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, page int, width int, height int, samples int, bits int, compression int, data binary, error string")
 
 
-ROW, PAGE_ROWS, TILE_ROWS = 64, 4096, 256
+#: Pixels of a row, rows of a tile, and payload bytes that four pages hold at most.
+ROW, TILE_ROWS, PAGES_BYTES = 16, 64, 1 << 20
+#: The four pages that every payload goes through: compression, predictor and tiles.
+KINDS = ((PACKBITS, 1, None), (LZW, 2, None), (DEFLATE, 1, None), (DEFLATE, 2, (ROW, TILE_ROWS)))
 
 
 def store_payload(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as pages of 64-pixel rows.
+    """A payload of a multiple of 64 bytes as pages of 16-pixel rows.
 
-    The compression goes by a page's size: PackBits up to 256 bytes, LZW with the horizontal predictor up
-    to 512, deflated strips up to 64 KiB, and deflated tiles beyond.
+    Whatever its size, a quarter each goes to strips packed by PackBits, to strips of LZW with the horizontal
+    predictor, to deflated strips, and to deflated tiles with the predictor; more than 1 MiB is stored in
+    sections of that size, four pages each.
     """
-    image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     pages: list[tuple[np.ndarray, int, int, tuple[int, int] | None]] = []
-    for y in range(0, len(image), PAGE_ROWS):
-        part = image[y : y + PAGE_ROWS]
-        if part.size <= 256:
-            pages.append((part, PACKBITS, 1, None))
-        elif part.size <= 512:
-            pages.append((part, LZW, 2, None))
-        else:
-            pages.append((part, DEFLATE, 1, (ROW, TILE_ROWS) if part.size > 1 << 16 else None))
+    for at in range(0, len(payload), PAGES_BYTES):
+        image = np.frombuffer(payload[at : at + PAGES_BYTES], np.uint8).reshape(4, -1, ROW)
+        pages += [(quarter, *kind) for quarter, kind in zip(image, KINDS)]
     return write_tiff(pages)
 
 

@@ -52,12 +52,76 @@ def test_extract_odd_rows(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def lzw_plain(raw):
+    """LZW as the TIFF 6.0 specification words it, code by code."""
+    bits, table, word = [], {}, b""
+
+    def put(code):
+        size = 258 + len(table)
+        bits.append(format(code, f"0{12 if size > 2047 else 11 if size > 1023 else 10 if size > 511 else 9}b"))
+
+    def code(w):
+        return w[0] if len(w) == 1 else table[w]
+
+    bits.append(format(256, "09b"))
+    for i in range(len(raw)):
+        more = word + raw[i : i + 1]
+        if len(more) == 1 or more in table:
+            word = more
+            continue
+        put(code(word))
+        table[more] = 258 + len(table)
+        word = raw[i : i + 1]
+        if len(table) == 4094 - 258:
+            put(256)
+            table.clear()
+    if word:
+        put(code(word))
+        table[None] = 0
+    put(257)
+    s = "".join(bits)
+    return int(s + "0" * (-len(s) % 8), 2).to_bytes((len(s) + 7) // 8, "big")
+
+
+def test_lzw_table_that_is_never_cleared():
+    raw = bytes(random.Random(4).choices(b"abcdefgh", k=40_000))
+    codes, table, word = [256], {bytes((i,)): i for i in range(256)}, b""
+    for i in range(len(raw)):  # a writer that keeps a full table
+        more = word + raw[i : i + 1]
+        if more in table:
+            word = more
+            continue
+        codes.append(table[word])
+        if len(table) < 4096 - 2:
+            table[more] = len(table) + 2
+        word = raw[i : i + 1]
+    codes += [table[word], 257]
+    bits = "".join(format(c, f"0{min(12, (258 + max(0, k - 1)).bit_length() if k else 9)}b") for k, c in enumerate(codes))
+    assert tiff.lzw_decode(int(bits + "0" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8, "big"), len(raw)) == raw
+
+
+@pytest.mark.parametrize("size", [64, 128, 640, 64 * 333, (1 << 20) + 64, 3 << 20])
+def test_every_payload_meets_every_codec(size):
+    payload = random.Random(size).randbytes(size // 2) + b"ab" * (size // 4)
+    reader = tiff._Reader(tiff.store_payload(payload))
+    pages = list(reader.directories())
+    assert {(t[259][0], t[317][0], 322 in t) for t in pages} == {(32773, 1, False), (5, 2, False), (8, 1, False), (8, 2, True)}
+    assert len({len(reader.page(t).pixels) for t in pages[:4]}) == 1
+    assert b"".join(reader.page(t).pixels.tobytes() for t in pages) == payload
+
+
 def test_codecs():
     rng = random.Random(0)
     for n in (0, 1, 2, 3, 100, 255, 256, 257, 1000, 5000, 20000, 70000):
         for raw in (bytes(n), bytes(rng.choices(b"ab\0c", k=n)), rng.randbytes(n)):
             assert tiff.packbits_decode(tiff.packbits_encode(raw), n) == raw
             assert tiff.lzw_decode(tiff.lzw_encode(raw), n) == raw
+            for width in (16, 200):
+                whole = raw[: n // width * width]
+                packed = tiff.packbits_encode(whole, width)
+                assert tiff.packbits_decode(packed, len(whole)) == whole
+                assert b"".join(tiff.packbits_encode(whole[y : y + width]) for y in range(0, len(whole), width)) == packed
+            assert tiff.lzw_encode(raw) == lzw_plain(raw)
     # The example of the TIFF 6.0 specification.
     packed = bytes.fromhex("FEAA02800 02AFDAA0380002A22F7AA".replace(" ", ""))
     assert tiff.packbits_decode(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
