@@ -93,6 +93,38 @@ def test_repeated_rows_take_one_place(spark):
     assert all([r for r, _ in g] == list(range(1, 21)) and len({i for _, i in g}) == 20 for g in got.values())
 
 
+def test_every_dimension_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 150)  # not all dimensions are in the sample
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6 if i % 3 else 3).tolist()) for i in range(400)] + [(i, rng.normal(size=9).tolist()) for i in (400, 401, 402)]
+    got = {}
+    for r in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, recall=1.0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {}
+    for size in (3, 6, 9):
+        want |= plain([(i, v) for i, v in rows if len(v) == size])
+    assert got.keys() == want.keys() and [i for i, _ in got[400]] == [i for i, _ in want[400]]
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in got]) >= 0.9
+
+
+def test_queue_gives_leaves_best_first():
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(900, 5)) + rng.integers(0, 4, (900, 1)) * 3
+    tree = ann.KMeansTree(points, branching=3, leaf=20)
+    assert sorted(tree.place[tree.leaves]) == list(range(len(tree.leaves))) and len(tree.leaves) > 30
+    for q in points[:20]:
+        p = tree.priorities(q[None])[0]
+        assert np.allclose(p, tree.matrix @ q + np.linalg.norm(q) * tree.spread)
+        every = tree.visit(p.tolist(), len(tree.leaves))
+        assert sorted(every) == list(range(len(tree.leaves)))
+        few = tree.visit(p.tolist(), 2, [7] * len(tree.leaves), 40)
+        assert few == every[:6]  # two, and on until they hold 40 rows
+    # The bound on what a node's rows reach holds for nearly all of them.
+    leaf = np.array(tree.leaves)[tree.assign(points)]
+    reach = (points @ points[:50].T).T - (tree.matrix[leaf] @ points[:50].T).T
+    assert (reach <= np.linalg.norm(points[:50], axis=1)[:, None] * tree.spread[leaf]).mean() > 0.95
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SMALL, "documents")
     columns = docs.columns
