@@ -5,18 +5,21 @@ A text's shingles (``width`` consecutive words) are labelled with their occurren
 in which they stand in the text (Marcais et al., Locality-sensitive hashing for the edit distance, 2019):
 two texts agree in such a key about as often as they share shingles, in the same order.
 
-Texts with an equal key are candidates, and every candidate pair is decided, once: in the least key that
-both have.  The members of a key are dealt into blocks of bounded size, so a key of any size is worked on
-in many tasks; keys with the same members count as one.  A pair is similar by the longest common
-subsequence of its shingle sequences.  In a block of many pairs it is bounded from both sides by matrix
-products: by the shingles in common, and by those that also stand in one order which the whole block
-follows.  Pairs between the bounds, and those of small blocks, are aligned with bit vectors over the band
-of diagonals that a pair of the wanted similarity cannot leave.
+Texts with an equal key are candidates.  Two of them are similar by the longest common subsequence of
+their words, ``common / (len(a) + len(b) - common)``, found with bit vectors over the band of diagonals
+that a pair of the wanted similarity cannot leave; a pair whose shingles are as similar always is by its
+words.  Where many texts share a key, matrix products over the words they have in common rule pairs out first.
+
+Classes are what links connect, so a pair that is connected already needs no alignment: from a text of a
+group all others still unconnected are tried, then from those it was linked with, and so on.  Members of a
+key that are too many for one task are dealt into blocks twice, in different ways, and what either way
+links is labelled.  Then each member outside its key's largest group is held against all members in
+other groups, block by block.  So a group of any number of copies costs work in proportion to it, and yet
+no pair of candidates of different classes is left untried.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from .common import written
 
 WIDTH, TABLES, PICKS, SIMILARITY = 5, 20, 3, 0.8
 SALTS = 16
-#: Texts and words of one block; pairs from which a block is decided by matrix products; columns of one product.
+#: Texts and words of one block; pairs from which products rule some out; columns of one product.
 BLOCK_TEXTS, BLOCK_WORDS, MANY, COLUMNS = 512, 2_000_000, 64, 4096
 U64 = np.uint64
 
@@ -85,7 +88,7 @@ def order_min_hash(shingle: np.ndarray, off: np.ndarray, tables: int, picks: int
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """``common / (len(a) + len(b) - common)`` with the longest common subsequence; 0 if below ``least``."""
+    """``common / (len(a) + len(b) - common)`` of two word sequences with the longest common subsequence; 0 if below ``least``."""
     na, nb = len(a), len(b)
     need = int(np.ceil(least / (1 + least) * (na + nb) - 1e-9))
     if not na or not nb or min(na, nb) < need:
@@ -126,113 +129,56 @@ def _banded(a: list[int], b: list[int], left: int, right: int) -> int:
     return len(b) - v.bit_count()
 
 
-def _one_order(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    """Rank of each id: an order that all documents follow, if there is one."""
-    step = np.flatnonzero(doc[1:] == doc[:-1])
-    edges = np.unique(ids[step].astype(np.int64) * size + ids[step + 1])
-    start, end = np.divmod(edges, size)
-    waits = np.bincount(end, minlength=size)
-    free = np.flatnonzero(waits == 0).tolist()
-    by_place = iter(np.argsort(np.bincount(ids, place, size) / np.bincount(ids, minlength=size), kind="stable").tolist())
-    at, end, waits = np.searchsorted(start, np.arange(size + 1)).tolist(), end.tolist(), waits.tolist()
-    rank, done = [-1] * size, 0
-    while done < size:
-        # In a cycle the one that stands first on average goes on.
-        u = free.pop() if free else next(by_place)
-        if rank[u] >= 0:
-            continue
-        rank[u] = done
-        done += 1
-        for v in end[at[u] : at[u + 1]]:
-            waits[v] -= 1
-            if not waits[v] and rank[v] < 0:
-                free.append(v)
-    return np.array(rank, np.int64)
-
-
-def _rising(rank: list[int]) -> list[int]:
-    """Places of a longest rising subsequence."""
-    least, last, before = [], [], []
-    for i, r in enumerate(rank):
-        k = bisect_left(least, r)
-        before.append(last[k - 1] if k else -1)
-        least[k : k + 1], last[k : k + 1] = [r], [i]
-    out, i = [], last[-1] if last else -1
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return out[::-1]
-
-
-def linked(texts: list[np.ndarray], want: np.ndarray, least: float) -> np.ndarray:
-    """Which of the wanted pairs (``want[i, j]``) of shingle sequences are similar enough."""
-    out = np.zeros(want.shape, bool)
-    if want.sum() <= MANY:
-        for i, j in np.argwhere(want).tolist():
-            out[i, j] = aligned_similarity(texts[i], texts[j], least) > 0
-        return out
+def _possible(texts: list[np.ndarray], want: np.ndarray, least: float) -> np.ndarray:
+    """Which of the wanted pairs of word sequences have enough words in common, in whatever order."""
     n = np.array([len(t) for t in texts])
+    need = np.ceil(least / (1 + least) * (n[:, None] + n[None, :]) - 1e-9)
+    want = want & (np.minimum(n[:, None], n[None, :]) >= need) & (n[:, None] > 0)
+    if np.count_nonzero(want) <= 2 * MANY:
+        return want
     doc = np.repeat(np.arange(len(n)), n)
-    place = ragged.ranges(np.zeros(len(n), np.int64), n)
     _, ids, crowd = np.unique(_labelled(np.concatenate(texts), doc), return_inverse=True, return_counts=True)
     keep = crowd[ids] > 1  # the others are in no pair's common part
-    doc, place = doc[keep], place[keep]
-    _, ids = np.unique(ids[keep], return_inverse=True)
+    doc, ids = doc[keep], np.unique(ids[keep], return_inverse=True)[1]
     size = int(ids.max()) + 1 if len(ids) else 0
-    rank = _one_order(ids, doc, place, size)[ids] if size else ids
-    firm = np.ones(len(ids), bool)
-    bad = np.flatnonzero((doc[1:] == doc[:-1]) & (rank[1:] <= rank[:-1]))
-    off = np.searchsorted(doc, np.arange(len(n) + 1))
-    for d in np.unique(doc[bad]).tolist():
-        firm[off[d] : off[d + 1]] = False
-        firm[off[d] + np.array(_rising(rank[off[d] : off[d + 1]].tolist()), np.int64)] = True
     chunks = [(r, c) for at in range(0, len(n), 128) if len(r := at + np.flatnonzero(want[at : at + 128].any(1))) and len(c := np.flatnonzero(want[r].any(0)))]
+    total = np.zeros(want.shape, np.float32)
+    order = np.argsort(ids, kind="stable")
+    cuts = np.searchsorted(ids[order], np.arange(0, size + COLUMNS, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        x = np.zeros((len(n), min(COLUMNS, size - k * COLUMNS)), np.float32)
+        x[doc[order[lo:hi]], ids[order[lo:hi]] - k * COLUMNS] = 1
+        for r, c in chunks:
+            total[np.ix_(r, c)] += x[r] @ x[c].T
+    return want & (total >= need)
 
-    def common(which: np.ndarray) -> np.ndarray:
-        total = np.zeros(want.shape, np.float32)
-        order = which[np.argsort(ids[which], kind="stable")]
-        cuts = np.searchsorted(ids[order], np.arange(0, size + COLUMNS, COLUMNS))
-        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-            x = np.zeros((len(n), min(COLUMNS, size - k * COLUMNS)), np.float32)
-            x[doc[order[lo:hi]], ids[order[lo:hi]] - k * COLUMNS] = 1
-            for r, c in chunks:
-                total[np.ix_(r, c)] += x[r] @ x[c].T
-        return total
 
-    need = np.ceil(least / (1 + least) * (n[:, None] + n[None, :]) - 1e-9)
-    most = common(np.arange(len(ids)))
-    sure = most if firm.all() else common(np.flatnonzero(firm))
-    out = want & (sure >= need)
-    for i, j in np.argwhere(want & (most >= need) & ~out).tolist():
-        out[i, j] = aligned_similarity(texts[i], texts[j], least) > 0
-    return out
-
-
-def _untried(earlier: list[np.ndarray], right: np.ndarray, cross: bool) -> np.ndarray:
-    """Pairs of a block, or across two, that no earlier key has."""
-    want = ~right[:, None] & right[None, :] if cross else np.triu(np.ones((len(right),) * 2, bool), 1)
-    doc = np.repeat(np.arange(len(earlier)), [len(e) for e in earlier])
-    key = np.concatenate(earlier)
-    order = np.argsort(key, kind="stable")
-    for own in np.split(doc[order], np.flatnonzero(np.diff(key[order])) + 1):
-        if len(own) > 1:
-            want[np.ix_(own, own)] = False
-    return want
-
-
-def _stars(links: np.ndarray) -> np.ndarray:
-    """For each member the first of those it is linked with, directly or through others."""
-    both = links | links.T
-    root = np.full(len(both), -1)
-    for i in range(len(both)):
-        if root[i] < 0:
-            root[i], new = i, np.array([i])
-            while len(new):
-                new = np.flatnonzero(both[new].any(0) & (root < 0))
-                root[new] = i
+def connected(texts: list[np.ndarray], want: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
+    """For each word sequence the first of those it is connected with.
+
+    Links are wanted pairs (``want`` is symmetric) of the similarity; sequences of one ``label`` are connected.
+    """
+    can = _possible(texts, want & (label[:, None] != label[None, :]), least)
+    root = np.full(len(texts), -1)
+    for i in range(len(texts)):
+        if root[i] >= 0:
+            continue
+        todo = np.flatnonzero(label == label[i]).tolist()
+        root[todo] = i
+        while todo:
+            u = todo.pop()
+            for v in np.flatnonzero(can[u] & (root < 0)).tolist():
+                if root[v] < 0 and aligned_similarity(texts[u], texts[v], least) > 0:
+                    new = np.flatnonzero(label == label[v])
+                    root[new] = i
+                    todo += new.tolist()
     return root
 
 
+def _digest(column: str = "text") -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+
+
 def _sketches(docs: DataFrame, width: int, tables: int, picks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
@@ -242,97 +188,127 @@ def _sketches(docs: DataFrame, width: int, tables: int, picks: int) -> DataFrame
             n = np.diff(at)
             keys = order_min_hash(shingle, np.concatenate([[0], at[1:][n > 0]]), tables, picks) if len(shingle) else np.empty((0, tables), U64)
             ends = np.concatenate([[0], np.cumsum((n > 0) * tables)]).astype(np.int32)
-            whole = [ragged.span_hash(data, off[:-1], off[1:], k).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(whole[0]), pa.array(whole[1]), pa.array(np.diff(by_text).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))],
-                ["doc_id", "t1", "t2", "n_words", "keys"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(by_text).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))],
+                ["doc_id", "digest", "n_words", "keys"],
             )
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, n_words long, keys array<long>")
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
+    return known.mapInArrow(run, "doc_id long, digest binary, n_words long, keys array<long>")
 
 
-def _links(docs: DataFrame, own: DataFrame, width: int, least: float) -> DataFrame:
-    """``doc_id, root, n``: the ``n`` links of a text that one block gave, and a text linked with it through links of the block.
+def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, words``: 64-bit hashes of the words of the wanted texts (``doc_id, digest``)."""
 
-    ``own`` has the keys of each text with their numbers of blocks, in order.
-    """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ragged.slices(batches):
             data, off = ragged.texts(batch.column("text"))
             start, end, by = ragged.words(data, off)
-            raw, ends = (ragged.span_hash(data, start, end) >> U64(32)).astype("<u4").tobytes(), (4 * by).tolist()
+            raw, ends = ragged.span_hash(data, start, end).astype("<u8").tobytes(), (8 * by).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[i:j] for i, j in zip(ends, ends[1:])], pa.binary())], ["doc_id", "words"])
 
-    def block(rows: pa.Table) -> pa.Table:
-        right = np.array(rows.column("other").to_pylist(), bool)
-        earlier = [np.array(e, np.int64) for e in rows.column("earlier").to_pylist()]
-        # Members with the commonest earlier key last: among them all pairs are tried, and products leave them out.
-        names, counts = np.unique(np.concatenate(earlier), return_counts=True)
-        if len(names):
-            order = np.argsort([names[counts.argmax()] in e for e in earlier], kind="stable")
-            rows, right, earlier = rows.take(pa.array(order)), right[order], [earlier[i] for i in order]
-        ids, links = rows.column("doc_id").to_numpy(), np.zeros((len(right),) * 2, bool)
-        want = _untried(earlier, right, bool(rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py()))
-        if want.any():
-            used = np.flatnonzero(want.any(0) | want.any(1))
-            hashes = (np.frombuffer(w.as_py(), "<u4").astype(U64) for w in rows.column("words").take(pa.array(used)))
-            texts = [shingles(ragged.mix(h), np.array([0, len(h)]), width)[0] for h in hashes]
-            links[np.ix_(used, used)] = linked(texts, want[np.ix_(used, used)], least)
+    # Always a shuffled join: the wanted ids grow with the documents, so the plan shouldn't change with size.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", _digest())
+    own = own.join(wanted.hint("merge"), ["doc_id", "digest"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return own.mapInArrow(run, "doc_id long, words binary")
+
+
+def _links(units: DataFrame, words: DataFrame, unit: list[str], least: float) -> DataFrame:
+    """``doc_id, root``: texts connected within a unit of work.
+
+    ``units`` has ``doc_id, label, visitor`` and the columns of ``unit``; with visitors, only they are held
+    against the others.
+    """
+
+    def solve(rows: pa.Table) -> pa.Table:
+        visitor, label = rows.column("visitor").to_numpy(), rows.column("label").to_numpy()
+        ids, first = np.unique(rows.column("doc_id").to_numpy(), return_index=True)
+        texts = [np.frombuffer(w.as_py(), "<u8") for w in rows.column("words").take(pa.array(first))]
+        visitor, label = visitor[first], label[first]
+        # A visitor at home is a resident too.
+        want = visitor[:, None] | visitor[None, :] if visitor.any() else np.ones((len(ids),) * 2, bool)
+        root = connected(texts, want, label, least)
+        if len(ids) > MANY or rows.nbytes > 1 << 20:
             del texts
-        if len(right) > MANY or rows.nbytes > 1 << 20:
             ragged.release()  # workers are used again, by other operators too
-        n = links.sum(0) + links.sum(1)
-        some = np.flatnonzero(n)
-        return pa.table([ids[some], ids[_stars(links)[some]], n[some].astype(np.int64)], ["doc_id", "root", "n"])
+        some = root != np.arange(len(ids))
+        return pa.table([ids[some], ids[root[some]]], ["doc_id", "root"])
 
-    # Always a shuffled join: the wanted ids grow with the documents, so the plan shouldn't change with size.
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, words binary")
-    one = own.join(words, "doc_id").select("doc_id", "words", "all", F.explode("all").alias("one"))
-    one = one.select("doc_id", "words", F.col("one.key").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("one.blocks")).alias("g"), F.expr("sequence(0L, one.blocks - 1)").alias("hs"), F.expr("transform(filter(all, x -> x.key < one.key), x -> x.key)").alias("earlier"))
-    units = one.select("doc_id", "words", "key", "earlier", "g", F.explode("hs").alias("h")).select("doc_id", "words", "key", "earlier", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"), (F.col("g") > F.col("h")).alias("other"))
-    return units.groupBy("key", "lo", "hi").applyInArrow(lambda rows: block(rows), "doc_id long, root long, n long")
+    return units.join(words, "doc_id").groupBy(*unit).applyInArrow(lambda rows: solve(rows), "doc_id long, root long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, n_copies``.
+def _dealt(doc: str, key: str, salt: int, blocks: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(doc), F.col(key), F.lit(salt)), F.col(blocks))
 
-    ``class_id`` is the smallest id of the documents linked with it, directly or through others; a document
-    without near duplicates is its own class.  Equal texts (null counts as empty) are in one class, and are
-    compared with others once, by their smallest id.  ``n_links`` counts the other texts within ``similarity``
-    among those that share a key; ``n_copies`` the documents with this very text.  Words are runs without white space; a
-    text below ``width`` words is one shingle, so it only matches texts of the same words; a text without
-    words only its equals.  Rows that repeat an id are one document; one with a null id is alone and
-    gets a null class.  An empty table gives no rows; other columns are ignored.
-    """
+
+def _classes(docs: DataFrame, similarity: float, width: int, tables: int, picks: int) -> DataFrame:
+    """``doc_id, digest, class_id, n_copies`` of each text of each document with an id."""
     sketch = written(_sketches(docs, width, tables, picks), "sketches")
-    texts = sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_copies"))
+    texts = written(sketch.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n_copies")), "texts")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int")
     # A text may be that of a third of all documents: its copies are dealt over SALTS places.
-    salted = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    member = sketch.select("doc_id", "t1", "t2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["t1", "t2", "salt"])
-    member = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_copies").alias("n_copies"))
-    member = written(member, "members")
-    reps = sketch.join(texts.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select("doc_id", "n_words", F.explode("keys").alias("key"))
-    reps = written(reps.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words")), "keys")
+    member = sketch.select("doc_id", "digest", salt.alias("salt")).join(texts.withColumn("salt", salts), ["digest", "salt"]).drop("salt").distinct()
+    # One text of each id stands for it.
+    chosen = texts.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("digest"))
+    reps = sketch.join(chosen, ["doc_id", "digest"], "left_semi").select("doc_id", "digest", "n_words", F.explode("keys").alias("key")).distinct()
+    reps = written(reps, "keys")
     crowd = reps.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.expr("bit_xor(xxhash64(doc_id, 1))").alias("h1"), F.expr("bit_xor(xxhash64(doc_id, 2))").alias("h2")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("n_words") / BLOCK_WORDS)).cast("long")
-    kept = crowd.groupBy("n", "n_words", "h1", "h2").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))
-    shared = reps.select("doc_id", "key").join(kept, "key")
-    own = written(shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("all")), "shared")
-    links = written(_links(docs, own, width, similarity), "links")
-    label = connected_components(links.where("doc_id != root"), "doc_id", "root", written)
-    degree = links.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n").alias("n_links"))
-    found = member.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    out = found.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    alone = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return out.unionAll(alone)
-
-
-def keep_one(docs: DataFrame, **settings: float) -> DataFrame:
+    # Keys with the same members count as one; a key may be that of a third of all texts.
+    kept = crowd.groupBy("n", "n_words", "h1", "h2").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"), salts.alias("salt"))
+    shared = written(reps.select("doc_id", "digest", "key", salt.alias("salt")).join(kept, ["key", "salt"]).drop("salt"), "shared")
+    words = written(_sequences(docs, shared.select("doc_id", "digest").distinct()), "words")
+    dealing = F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    first = shared.select("doc_id", "key", "blocks", dealing.alias("d")).select(
+        "doc_id", "key", "d", F.pmod(F.xxhash64("doc_id", "key", "d"), "blocks").alias("g"), F.col("doc_id").alias("label"), F.lit(False).alias("visitor")
+    )
+    links = written(_links(first, words, ["key", "d", "g"], similarity), "links")
+    label = written(connected_components(links, "doc_id", "root", written), "labels")
+    # Keys of several blocks whose members are not all connected yet.
+    large = shared.where("blocks > 1").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    large = written(large.select("doc_id", "key", "blocks", F.coalesce("component", "doc_id").alias("label")), "large")
+    groups = large.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_ = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
+    open_ = written(open_.select("key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK_TEXTS).cast("long").alias("crews")), "open")
+    if not open_.isEmpty():
+        rest = large.withColumn("salt", salt).join(open_.withColumn("salt", salts), ["key", "salt"]).drop("salt")
+        home = _dealt("doc_id", "key", 0, "blocks")
+        residents = rest.select("doc_id", "key", home.alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("crews") - 1)).alias("d"), "label", F.lit(False).alias("visitor"))
+        outside = rest.where("label != main")
+        visitors = outside.select("doc_id", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("g"), _dealt("doc_id", "key", 5, "crews").alias("d"), "label", F.lit(True).alias("visitor"))
+        # Where a visitor is at home it comes once, as a visitor.
+        every = residents.unionByName(visitors).groupBy("key", "g", "d", "doc_id").agg(F.max("label").alias("label"), F.max("visitor").alias("visitor"))
+        more = written(_links(every, words, ["key", "g", "d"], similarity), "links")
+        edges = label.select(F.col("node").alias("doc_id"), F.col("component").alias("root")).unionByName(more)
+        label = written(connected_components(edges, "doc_id", "root", written), "labels")
+    found = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    return found.select("doc_id", "digest", F.coalesce("component", "rep").alias("class_id"), "n_copies")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_copies``.
+
+    ``class_id`` is the smallest id of the documents linked with it, directly or through others; a document
+    without near duplicates is its own class.  Equal texts (null counts as empty) are in one class, and are
+    compared with others once, by their smallest id.  ``n_copies`` counts the documents with this very text.
+    Words are runs without white space; a text below ``width`` words is one shingle, so it only matches
+    texts of the same words; a text without words only its equals.  Texts of any length are compared whole.
+    Rows that repeat an id are one document, the class of one with several texts being the least of theirs;
+    one with a null id is alone and gets a null class.  An empty table gives no rows; other columns are ignored.
+    """
+    found = _classes(docs, similarity, width, tables, picks).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_copies").alias("n_copies"))
+    alone = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return found.unionAll(alone)
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: that with the smallest id.
 
-    Rows that repeat an id leave one row; rows with a null id all stay; columns stay as they are.
+    Rows that repeat an id and a text leave one row; a text goes only if another document has it or one like
+    it.  Rows with a null id all stay; null and empty texts are copies of each other; columns stay as they are.
     """
-    kept = near_duplicates(docs, **settings).where("doc_id = class_id").select(F.col("doc_id").alias("_catweave_kept"))
-    known = docs.join(kept, F.col("doc_id").cast("long") == F.col("_catweave_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionAll(docs.where("doc_id IS NULL"))
+    kept = _classes(docs, similarity, width, tables, picks).where("doc_id = class_id").select(F.col("doc_id").alias("_catweave_id"), F.col("digest").alias("_catweave_kept"))
+    own = docs.where("doc_id IS NOT NULL").withColumn("_catweave_digest", _digest())
+    known = own.join(kept, (F.col("doc_id").cast("long") == F.col("_catweave_id")) & (F.col("_catweave_digest") == F.col("_catweave_kept")), "left_semi")
+    return known.dropDuplicates(["doc_id", "_catweave_digest"]).drop("_catweave_digest").unionAll(docs.where("doc_id IS NULL"))

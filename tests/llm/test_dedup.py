@@ -87,15 +87,12 @@ def plain_classes(rows):
             x = parent[x]
         return x
 
-    seqs = []
-    for i, t in rows:
-        w = (t or "").encode().split()
-        if i is not None:
-            seqs.append((i, t or "", [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []))
+    seqs = [(i, t or "", (t or "").encode().split()) for i, t in rows if i is not None]
     for x, (i, t, a) in enumerate(seqs):
         for j, u, b in seqs[:x]:
             need = 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
-            if t == u or (a and b and sum((Counter(a) & Counter(b)).values()) >= need and lcs(a, b) >= need):
+            alike = a == b if min(len(a), len(b)) < 5 else sum((Counter(a) & Counter(b)).values()) >= need and lcs(a, b) >= need
+            if t == u or (a and b and alike):
                 lo, hi = sorted((root(i), root(j)))
                 parent[hi] = lo
     return {i: root(i) for i in ids}
@@ -134,47 +131,98 @@ def edited_copies(count, words, edits, seed):
 
 
 def sequences(texts):
-    words = [np.array([int(hashlib.sha256(w.encode()).hexdigest()[:15], 16) for w in t.split()], np.uint64) for t in texts]
-    return [neardup.shingles(w, np.array([0, len(w)]), 5)[0] for w in words]
+    return [np.array([int(hashlib.sha256(w.encode()).hexdigest()[:15], 16) for w in t.split()], np.uint64) for t in texts]
 
 
 def test_blocks_equal_alignment():
     rng = random.Random(3)
-    texts = [t.split() for t in edited_copies(40, 120, 2, 1)]
+    texts = [t.split() for t in [*edited_copies(40, 120, 10, 1), *edited_copies(20, 120, 3, 2)]]
     for k, t in enumerate(texts):
         if k % 3 == 1:  # passages in another order, which only alignment decides
             cut, to = rng.randrange(20, 100), rng.randrange(3, 18)
             t[:] = t[cut : cut + to] + t[:cut] + t[cut + to :]
         if k % 7 == 2:
             t[50:50] = t[:12] * 2
-    seqs = sequences(" ".join(t) for t in texts)
-    want = np.triu(np.ones((40, 40), bool), 1)
-    got = neardup.linked(seqs, want, 0.8)
-    assert (got == [[i < j and neardup.aligned_similarity(seqs[i], seqs[j], 0.8) > 0 for j in range(40)] for i in range(40)]).all() and 0 < got.sum() < want.sum()
-
-
-def test_group_without_its_original(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 64)
-    texts = edited_copies(300, 300, 4, 5)
+    seqs, n = sequences(" ".join(t) for t in texts), len(texts)
+    near = np.array([[i != j and neardup.aligned_similarity(seqs[i], seqs[j], 0.8) > 0 for j in range(n)] for i in range(n)])
+    assert 0 < near.sum() < n * (n - 1)
+
+    def plain(want, label):
+        root = list(range(n))
+        for _ in range(n):
+            for i in range(n):
+                for j in range(n):
+                    if label[i] == label[j] or want[i, j] and near[i, j]:
+                        root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    visitor = np.arange(n) % 4 == 0
+    for want, label in ((np.ones((n, n), bool), np.arange(n)), (visitor[:, None] | visitor[None, :], np.arange(n) // 3 * 3), (np.ones((n, n), bool), np.zeros(n))):
+        assert neardup.connected(seqs, want, label, 0.8).tolist() == plain(want, label)
+
+
+@pytest.mark.parametrize("blocks", [64, 7])
+def test_group_without_its_original(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", blocks)
+    # Copies far enough from each other that candidates are refused and chains form.
+    texts = edited_copies(120, 300, 19, 5) + edited_copies(60, 300, 4, 6)
+    texts += [" ".join(t.split()[:150] + u.split()[150:]) for t, u in zip(texts[:20], texts[120:140])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     keys = [set(r["keys"]) for r in sorted(neardup._sketches(docs, 5, neardup.TABLES, neardup.PICKS).collect(), key=lambda r: r.doc_id)]
     seqs = sequences(texts)
-    parent, links = list(range(300)), [0] * 300
+    parent = list(range(len(texts)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(300):
+    for i in range(len(texts)):
         for j in range(i):
             if keys[i] & keys[j] and neardup.aligned_similarity(seqs[i], seqs[j], 0.8):
-                links[i] += 1
-                links[j] += 1
                 lo, hi = sorted((root(i), root(j)))
                 parent[hi] = lo
-    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs).collect()}
-    assert got == {i: (root(i), links[i]) for i in range(300)}
+    assert len({root(i) for i in range(120)}) > 1
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs within the similarity by brute force, found by keys: edits from a few words to as many as are allowed."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows, pairs = [], []
+    for k in range(400):
+        w = [word() for _ in range(rng.randint(40, 300))]
+        e = list(w)
+        for _ in range(rng.randint(1, max(1, len(w) // 14))):
+            i = rng.randrange(len(e))
+            e[i : i + rng.randint(0, 1)] = [word()] * rng.randint(0, 2)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(e))]
+        if neardup.aligned_similarity(*sequences([" ".join(w), " ".join(e)]), 0.8):
+            pairs.append(k)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c // 2 == i // 2 for i, c in got.items())
+    found = sum(got[2 * k] == got[2 * k + 1] for k in pairs) / len(pairs)
+    assert len(pairs) > 300 and found >= 0.95
+
+
+def test_texts_that_weak_hashes_confuse(spark):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, other, " ".join(one), " ".join(other), f"{' '.join(one)} {'c ' * 200}", f"{' '.join(other)} {'c ' * 200}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_copies) for r in neardup.near_duplicates(docs).collect()}
+    assert {got[i] for i in (0, 1)} == {(0, 1), (1, 1)} and neardup.keep_one(docs).where("doc_id < 2").count() == 2
+    assert Counter(map(tuple, substring.remove_repeats(docs, digest=True).collect())) == cut_plain(list(enumerate(texts)))
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    a, b, c = edited_copies(3, 60, 60, 9)
+    rows = [(5, a), (5, b), (3, a), (7, b), (7, c), (7, c), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.keep_one(docs).where("doc_id IS NOT NULL").collect())) == [(3, a), (5, b), (7, c)]
+    assert neardup.keep_one(docs).count() == 5
 
 
 def test_hash_check_falls_back_to_bytes(monkeypatch):
