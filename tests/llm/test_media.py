@@ -27,6 +27,45 @@ def test_articles_of_all_pages(spark):
     assert {r.page_id: (r.url, r.text) for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def article(r):
+    body = re.sub(r"</?b>", "", re.search(r"<article>(.*?)</article>", r.html, re.S)[1])
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", body)).split())
+
+
+@pytest.mark.parametrize("tag", ["div", "section", 'div class="x1"'])
+def test_articles_by_any_other_name(spark, tag):
+    rows = table(spark, "/root/testdata/sf0.1", "pages").select("html").collect()
+    right = [html_text.main_text(r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")) == article(r) for r in rows]
+    assert np.mean(right) >= 0.99
+
+
+def test_articles_without_any_names(spark):
+    """No tag, class or role tells anything: all blocks are divisions or paragraphs."""
+    rows = table(spark, SF, "pages").select("html").collect()
+    score = []
+    for r in rows:
+        plain = re.sub(r' class="ad"', "", re.sub(r"(</?)(article|nav|footer|ul|li)\\b", r"\\1div", r.html))
+        got, want = Counter(html_text.main_text(plain).split()), Counter(article(r).split())
+        score.append(2 * (got & want).total() / max(1, got.total() + want.total()))
+    assert np.mean(score) >= 0.95
+
+
+def test_smoothing_and_threshold_equal_plain():
+    rng = random.Random(7)
+    for n in (1, 2, 3, 7, 8, 60):
+        ratio = [rng.choice([0, 1, 5, 80, 200]) * rng.random() for _ in range(n)]
+        for sigma in (0.5, 1.0, 2.0):
+            plain = []
+            for i in range(n):
+                near = [(np.exp(-((i - j) ** 2) / (2 * sigma**2)), ratio[j]) for j in range(n) if abs(i - j) <= max(1, int(np.ceil(3 * sigma)))]
+                plain.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+            assert np.allclose(html_text.smoothed(np.array(ratio), sigma), plain)
+        lines = [html_text.Line("x" * int(100 * r), 100, 0, 0, (), (), False) for r in ratio]
+        smooth = html_text.smoothed(np.array([x.ratio for x in lines]), 1.0)
+        dense, limit = html_text.content(lines, [False] * n)
+        assert limit == min(smooth.std(), smooth.max()) and dense.tolist() == [s >= limit for s in smooth]
+
+
 P = "<p>Words of an article that go on for a good while, as sentences do.</p>"
 
 
@@ -38,6 +77,12 @@ P = "<p>Words of an article that go on for a good while, as sentences do.</p>"
         ("<article><p>one<p>two<br>three <b>fo</b>ur<script>var a='</p>'</script><style>p{}</style></article>", "one two three four"),
         (f"<body><div class=menu><a>a</a><a>b</a></div><div>{P}{P}{P}</div><div class='cookieNotice'>yes?</div></body>", f"{P} {P} {P}"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a b c d"),
+        (f"<div class='comment-free social'><h2>Head</h2>{P}{P}</div><footer>f</footer>", f"Head {P} {P}"),
+        (f"<body><div>{P}{P}</div><div id=comments>{P}{P}{P}{P}</div></body>", f"{P} {P}"),
+        ("<article><p>foo<span hidden>x</span>bar and so on<script>y</script>!</p></article>", "foobar and so on!"),
+        (f"<body><div><div><a href=1>one</a> <a href=2>two</a></div><div><h1>T</h1><div>{P}<ul><li>a<li>b</ul>{P}</div><p>End.</p></div></div></body>", f"T {P} a b {P} End."),
+        (f"<article>{P}{P}</article><div>{P}{P}</div><p>bye</p>", f"{P} {P} {P} {P}"),
+        (f"<body><header><h1>Site</h1></header>{P}<p>short</p>{P}<a href=x>more</a></body>", f"{P} short {P}"),
         ("", ""), ("   ", ""), ("just text", "just text"), ("<article>unclosed <i>x", "unclosed x"), ("<p hidden>no</p><article>yes</article>", "yes"),
     ],
 )
