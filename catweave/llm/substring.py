@@ -9,7 +9,7 @@ to the full length and compared whole, by a 96-bit hash, for the smallest docume
 Documents are dealt into blocks of a few megabytes.  A block sends each of its distinct anchors or
 windows once, with the smallest and largest document that has it there, so a passage in a third of all
 documents is one row a block, and gets its answer back as one row a block.  All windows of a text start in
-its first copy, so later exact copies need no anchors: they are found by a hash of the text beforehand.
+its first copy, so later exact copies need no anchors: they are found by a digest of the text beforehand.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import written
 #: A perfect difference set: the differences of its elements meet each residue but 0 once.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 BLOCK_BYTES = 4 << 20
+#: Text bytes that one task of a shuffle by block or by hash stands for, at most.
+TASK_BYTES = 16 << 20
 BLOCK, TEXT = "_catweave_block", "_catweave_text"
 SALTS = 16
 LAST = np.iinfo(np.int64).max
@@ -97,7 +99,7 @@ def _per_block(key: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None)
     return out if more is None else [*out, more[order][first]]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, names: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """``docs`` without the words of windows that also start in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a window is ``length`` (at least 32) consecutive words of one
@@ -108,21 +110,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
 
     A null text has no words and stays null; texts below ``length`` words lose nothing; of equal texts
     the one with the smallest id keeps its words, rows with equal ids don't count against each other;
-    a null id counts as larger than all others; an empty table stays empty; an own column named
-    ``n_words`` or ``n_removed`` is replaced.
+    a null id counts as larger than all others; texts of any length are handled whole; an empty table
+    stays empty; an own column named ``n_words`` or ``n_removed`` is replaced.  ``names`` are other names
+    for these two.
     """
     if length <= PERIOD:
         raise ValueError(f"length must be more than {PERIOD}")
-    docs = docs.select("doc_id", "text") if digest else docs.drop("n_words", "n_removed")
+    docs = docs.select("doc_id", "text") if digest else docs.drop(*names)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    n_tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
     block_of = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(n_blocks))
-    dealt = docs.withColumn(BLOCK, block_of).withColumn(TEXT, F.xxhash64("text")).repartition(BLOCK)
+    dealt = docs.withColumn(BLOCK, block_of).withColumn(TEXT, F.xxhash64("text")).repartition(n_tasks, BLOCK)
 
     # Later copies of a text: (id, text hash); a text's copies are dealt over SALTS places.
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("low"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), block_of.alias(BLOCK))
-    firsts = named.groupBy("h", "g").agg(F.min("low").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    again = named.withColumn("salt", F.pmod(F.xxhash64("low"), F.lit(SALTS)).cast("int")).join(firsts, ["h", "g", "salt"]).where("low > first")
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("low"), F.xxhash64("text").alias("h"), F.unhex(F.sha2("text", 256)).alias("g"), block_of.alias(BLOCK))
+    firsts = named.groupBy("g").agg(F.min("low").alias("first"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = named.withColumn("salt", F.pmod(F.xxhash64("low"), F.lit(SALTS)).cast("int")).join(firsts, ["g", "salt"]).where("low > first")
     copies = written(again.select(F.lit(0).alias("kind"), "h", "low", BLOCK), "copies")
 
     def apart(block: pa.Table, told: pa.Table) -> tuple[_Words, np.ndarray, pa.Table]:
@@ -145,7 +149,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
         h, low, high, g = _per_block(h, own.doc_id[doc], g)
         return pa.table([*_longs(h, g >> np.uint64(32), low, high), pa.array(np.full(len(h), key[0].as_py(), np.int64))], ["h", "g", "low", "high", BLOCK])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else docs.withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else docs.withColumns({c: F.lit(0).cast("long") for c in names}).schema
 
     def cut(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
         own, kind = _Words(block), told.column("kind").to_numpy()
@@ -184,7 +188,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
         block = block.drop_columns([BLOCK, TEXT])
         texts = block.column("text").to_pylist()
         text = pa.array([t if k is None else k for t, k in zip(texts, out)], block.column("text").type)
-        return block.set_column(block.column_names.index("text"), "text", text).append_column("n_words", counts[0]).append_column("n_removed", counts[1])
+        return block.set_column(block.column_names.index("text"), "text", text).append_column(names[0], counts[0]).append_column(names[1], counts[1])
 
     def told(kind_one: DataFrame | None = None) -> object:
         rows = copies if kind_one is None else copies.unionByName(kind_one.select(F.lit(1).alias("kind"), "h", "low", BLOCK))
@@ -192,8 +196,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
 
     anchors = dealt.groupBy(BLOCK).cogroup(told()).applyInArrow(send_anchors, f"h long, low long, high long, {BLOCK} long")
     by_anchor = Window.partitionBy("h")
-    shared = anchors.withColumns({"low": F.min("low").over(by_anchor), "high": F.max("high").over(by_anchor)}).where("low < high").select("h", F.lit(0).cast("long").alias("low"), BLOCK)
+    shared = anchors.repartition(n_tasks, "h").withColumns({"low": F.min("low").over(by_anchor), "high": F.max("high").over(by_anchor)}).where("low < high").select("h", F.lit(0).cast("long").alias("low"), BLOCK)
     windows = dealt.groupBy(BLOCK).cogroup(told(shared)).applyInArrow(send_windows, f"h long, g long, low long, high long, {BLOCK} long")
     by_window = Window.partitionBy("h", "g")
-    repeats = windows.withColumn("low", F.min("low").over(by_window)).where("low < high").select("h", "low", BLOCK)
+    repeats = windows.repartition(n_tasks, "h").withColumn("low", F.min("low").over(by_window)).where("low < high").select("h", "low", BLOCK)
     return dealt.groupBy(BLOCK).cogroup(told(repeats)).applyInArrow(cut, schema)
