@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the one the session names.
 
-    A session without ``spark.checkpoint.dir`` (a local test) gets a temporary folder.
+    A local session without ``spark.checkpoint.dir`` (a test) gets a temporary folder; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(spark, "_catweave_shared", None)
         if where is None:
             where = "file://" + tempfile.mkdtemp(prefix="catweave-")

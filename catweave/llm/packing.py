@@ -108,8 +108,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
 def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: which ids of which document, and where they lie in which sequence.
 
-    Null and empty texts are documents of the end id alone; repeated rows are packed each; an empty table
-    gives no rows.  Sequences are numbered from 0 without gaps, those of remainders first.
+    Null and empty texts are documents of the end id alone; repeated rows and rows with a null id are packed
+    each; texts of any length are encoded whole, some megabytes at a time, and cut into as many pieces as
+    they need; an empty table gives no rows; other columns are ignored.  Sequences are numbered from 0 without gaps, those of remainders first.
     """
     cut = written(pieces(docs, path, end_id, capacity), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))

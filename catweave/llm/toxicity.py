@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
+from .common import written
 
-#: Labelled rows the classifier is fitted on at most, by hash order of their ids.
-SAMPLE = 10_000
+#: Labelled rows, and words of theirs, that the classifier is fitted on at most, by hash order of their ids.
+SAMPLE, SAMPLE_WORDS = 10_000, 8_000_000
 TABLES, DIM, WIDTHS, FILTERS = (1 << 17, 1 << 15, 1 << 15), 16, (1, 2, 3), 12
-MOST_LANGUAGES = 16
+#: Rows of each label that a language needs for a threshold of its own, and the share of rows set aside for it.
+ENOUGH, ASIDE = 20, 5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -58,10 +60,19 @@ class Words:
             rows[to, j] = (ragged.span_hash(low, start, stop, j % 2) % np.uint64(size - 1)).astype(np.int64)
         return cls(rows, by + 2 * np.arange(n + 1))
 
+    def packed(self) -> np.ndarray:
+        """One number for each word that is not padding."""
+        rows = self.rows[self.rows[:, 0] >= 0].astype(np.int64)
+        return rows[:, 0] << 32 | rows[:, 1] << 16 | rows[:, 2]
+
     @classmethod
-    def joined(cls, parts: list[Words]) -> Words:
-        size = np.concatenate([[0], *(np.diff(p.off) for p in parts)])
-        return cls(np.concatenate([np.empty((0, 3), np.int32), *(p.rows for p in parts)]), np.cumsum(size))
+    def unpacked(cls, codes: np.ndarray, size: np.ndarray) -> Words:
+        n = len(size)
+        rows = np.full((len(codes) + 2 * n, 3), -1, np.int32)
+        to = np.arange(len(codes)) + 2 * np.repeat(np.arange(n), size)
+        for j, shift in enumerate((32, 16, 0)):
+            rows[to, j] = codes >> shift & 0xFFFFF >> (0 if j == 0 else 4)
+        return cls(rows, np.concatenate([[0], np.cumsum(size + 2)]))
 
 
 @dataclass
@@ -131,14 +142,37 @@ def _log_odds(words: Words, which: np.ndarray, label: np.ndarray) -> list[np.nda
     return [np.clip(np.log(p / (1 - p)) - np.log(base / (1 - base)), -3, 6) for p in share]
 
 
+def gradients(model: Model, part: Words, label: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Of the mean weighted log loss: by filters, their biases and the last layer; by the last bias; and by the
+    embedded words at some places of ``part`` (a place may come several times)."""
+    x, z = model.responses(part)
+    h = model.pooled(part, z)
+    p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30)))
+    g = ((p - label) * weight / len(label)).astype(np.float32)
+    by_filter, by_bias = [np.zeros_like(f) for f in model.filters], [np.zeros_like(b) for b in model.bias]
+    gh = g[:, None] * model.out * (h > 0)
+    places, grads = [], []
+    for j, (w, f, r) in enumerate(zip(WIDTHS, model.filters, z)):
+        top = np.stack([a + np.argmax(r[a:b], axis=0) for a, b in zip(part.off[:-1], part.off[1:])])  # texts x filters
+        gj = gh[:, j * FILTERS : (j + 1) * FILTERS]
+        by_bias[j] += gj.sum(0)
+        hit = np.abs(gj) > 1e-7
+        for o in range(w):
+            place = np.minimum(top + o, len(x) - 1)
+            by_filter[j][o] += np.einsum("nfd,nf->df", x[place], gj)
+            places.append(place[hit])
+            grads.append((gj[:, :, None] * f[o].T[None])[hit])
+    return [*by_filter, *by_bias, (h * g[:, None]).sum(0)], float(g.sum()), np.concatenate(places), np.concatenate(grads)
+
+
 def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: int, epochs: int = 5, batch: int = 48, seed: int = 3) -> Model:
     """Fit on texts with labels; ``language`` (of the same texts) only calibrates thresholds."""
     rng = np.random.default_rng(seed)
     n = len(label)
-    model = Model([rng.normal(0, 0.05, (size, DIM)).astype(np.float32) for size in TABLES])
-    model.filters = [rng.normal(0, 0.25, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    model = Model([rng.normal(0, 0.02, (size, DIM)).astype(np.float32) for size in TABLES])
+    model.filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     model.bias = [np.full(FILTERS, -0.5, np.float32) for _ in WIDTHS]
-    held = rng.permutation(n) < n // 5 if n >= 50 else np.zeros(n, bool)
+    held = rng.permutation(n) < n // ASIDE if n >= 50 else np.zeros(n, bool)
     fit = np.flatnonzero(~held)
     if len(fit):
         for e, odds in zip(model.embed, _log_odds(words, fit, label)):
@@ -162,24 +196,8 @@ def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: in
         for k in range(0, len(order), batch):
             which = order[k : k + batch]
             part = _subset(words, which)
-            x, z = model.responses(part)
-            h = model.pooled(part, z)
-            p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30)))
-            g = ((p - label[which]) * weight[which] / len(which)).astype(np.float32)
-            grads_f, grads_b = [np.zeros_like(f) for f in model.filters], [np.zeros_like(b) for b in model.bias]
-            gh = g[:, None] * model.out * (h > 0)
-            at_rows, at_grads = [], []
-            for j, (w, f, r) in enumerate(zip(WIDTHS, model.filters, z)):
-                top = np.stack([a + np.argmax(r[a:b], axis=0) for a, b in zip(part.off[:-1], part.off[1:])])  # texts x filters
-                gj = gh[:, j * FILTERS : (j + 1) * FILTERS]
-                grads_b[j] += gj.sum(0)
-                for o in range(w):
-                    place = np.minimum(top + o, len(x) - 1)
-                    grads_f[j][o] += np.einsum("nfd,nf->df", x[place], gj)
-                    hit = np.abs(gj) > 1e-7
-                    at_rows.append(place[hit])
-                    at_grads.append((gj[:, :, None] * f[o].T[None])[hit])
-            grads = [*grads_f, *grads_b, (h * g[:, None]).sum(0) + 1e-5 * model.out]
+            grads, bias_grad, place, grad = gradients(model, part, label[which], weight[which])
+            grads[-1] += 1e-5 * model.out
             step += 1
             for q, d, (m, v) in zip(params, grads, moments):
                 m *= 0.9
@@ -187,17 +205,15 @@ def train(words: Words, label: np.ndarray, language: np.ndarray, n_languages: in
                 v *= 0.99
                 v += 0.01 * d * d
                 q -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            model.out_bias -= 0.05 * float(g.sum())
-            if at_rows:
-                place, grad = np.concatenate(at_rows), np.concatenate(at_grads)
-                for j, e in enumerate(model.embed):
-                    rows = part.rows[place, j]
-                    keep = rows >= 0
-                    own, back = np.unique(rows[keep], return_inverse=True)
-                    total = np.zeros((len(own), DIM), np.float32)
-                    np.add.at(total, back, grad[keep])
-                    scale[j][own] += (total * total).sum(1)
-                    e[own] -= 0.05 * total / np.sqrt(scale[j][own])[:, None]
+            model.out_bias -= 0.05 * bias_grad
+            for j, e in enumerate(model.embed):
+                rows = part.rows[place, j]
+                keep = rows >= 0
+                own, back = np.unique(rows[keep], return_inverse=True)
+                total = np.zeros((len(own), DIM), np.float32)
+                np.add.at(total, back, grad[keep])
+                scale[j][own] += (total * total).sum(1)
+                e[own] -= 0.05 * total / np.sqrt(scale[j][own])[:, None]
     _fit_languages(model, words, language, n_languages)
     _calibrate(model, _subset(words, np.flatnonzero(held)), label[held], n_languages)
     return model
@@ -236,27 +252,47 @@ def _calibrate(model: Model, words: Words, label: np.ndarray, n: int) -> None:
     model.threshold[:] = _best_cut(z, label)
     for k in range(n):
         own = tongue == k
-        if label[own].sum() >= 20 and (label[own] == 0).sum() >= 20:
+        if label[own].sum() >= ENOUGH and (label[own] == 0).sum() >= ENOUGH:
             model.threshold[k] = _best_cut(z[own], label[own])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled rows whose id is not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words: int = SAMPLE_WORDS) -> Model:
+    """Train on at most ``sample`` labelled rows whose id is not held out, and on ``most_words`` words of them:
+    of the rows in the order of their ids' hashes, as many as have no more words together (one at least)."""
     free = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     picked = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & free)
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ragged.slices(batches, most=1 << 20):
+            words = Words.of(*ragged.texts(batch.column("text")))
+            raw, ends = words.packed().tobytes(), (8 * np.cumsum(np.diff(words.off) - 2)).tolist()
+            own = pa.array([raw[i:j] for i, j in zip([0, *ends], ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "lang", "toxic")), own], ["doc_id", "h", "lang", "toxic", "words"])
+
     # Bounded: the broadcast side has ``sample`` rows of two numbers, and each id's text is taken once.
-    got = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).join(F.broadcast(picked), "doc_id")
-    rows = got.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "toxic")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
-    words = Words.joined([Words.of(*ragged.texts(b.column("text"))) for b in ragged.slices(iter(rows.to_batches()), most=1 << 20)])
+    got = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(picked), "doc_id")
+    rows = got.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "toxic")).alias("r"))
+    rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id").alias("h"), "r.lang", F.col("r.toxic").cast("int").alias("toxic"), "r.text")
+    rows = written(rows.mapInArrow(codes, "doc_id long, h long, lang string, toxic int, words binary"), "training")
+    sizes = rows.select("h", "doc_id", F.octet_length("words").alias("n")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    count = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()) // 8, most_words, "right")) if sizes.num_rows else 0
+    if 0 < count < sizes.num_rows or not count:
+        last = sizes.slice(max(0, count - 1), 1).to_pylist()
+        rows = rows.where(F.struct("h", "doc_id") <= F.struct(*(F.lit(r[c]).cast("long") for r in last for c in ("h", "doc_id")))) if last else rows
+    rows = rows.drop("h").toArrow().sort_by("doc_id").combine_chunks()
+    size = np.array([len(w) // 8 for w in rows.column("words").to_pylist()], np.int64)
+    flat = np.frombuffer(b"".join(w.as_py() for w in rows.column("words")), np.int64)
+    words = Words.unpacked(flat, size)
     label = rows.column("toxic").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
-    names, code = np.unique(np.array(rows.column("lang").to_pylist(), dtype=str), return_inverse=True)
-    del rows
-    if len(names) > MOST_LANGUAGES:  # the rarer ones share the last place
-        rank = np.empty(len(names), np.int64)
-        rank[np.argsort(-np.bincount(code), kind="stable")] = np.arange(len(names))
-        code = np.minimum(rank[code], MOST_LANGUAGES - 1)
-    model = train(words, label, code, min(len(names), MOST_LANGUAGES) or 1)
+    names, code, seen = np.unique(np.array(rows.column("lang").to_pylist(), dtype=str), return_inverse=True, return_counts=True)
+    del rows, flat
+    # A language too rare for a threshold of its own shares the last place.
+    often = np.flatnonzero(seen >= 2 * ENOUGH)
+    place = np.full(len(names), len(often))
+    place[often] = np.arange(len(often))
+    model = train(words, label, place[code], max(1, len(often) + (len(often) < len(names))))
     del words
     ragged.release()
     return model
@@ -282,6 +318,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     Labels are read only of rows whose ``crc32(doc_id as text) mod 5`` is not 0, the rest are held out.
     Rows without a label, or with a null one, teach nothing; without any label every score is that of a
     fixed prior.  Equal texts get equal scores; repeated rows each give a row; a null id is not held out.
+    Null texts count as empty; texts of any length are scored whole; an empty table gives no rows; other
+    columns are ignored, but for ``lang``, which (where there is one) teaches the guesser of languages.
     """
     model = fit(docs, labels, sample)
     scored = with_scores(docs.select("doc_id", "text"), model)

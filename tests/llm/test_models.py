@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,80 @@ def test_toxicity_held_out(spark):
     assert held.predicted[held.toxic == 1].mean() > 0.85 and held.predicted[held.toxic == 0].mean() < 0.02
 
 
+def small_net(seed=0):
+    rng = np.random.default_rng(seed)
+    net = toxicity.Model([rng.normal(0, 0.5, (size, toxicity.DIM)).astype(np.float32) for size in toxicity.TABLES])
+    net.filters = [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    net.bias = [rng.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    net.out, net.out_bias = rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32), 0.3
+    return net
+
+
+def words_of(texts):
+    return toxicity.Words.of(*toxicity.ragged.texts(pa.array(texts)))
+
+
+TEXTS = ["", "one", "two words", "Ärger über ÄRGER, again and again", "x " * 40, "a b c d e f g"]
+
+
+def test_net_equals_plain_forward_pass():
+    net, words = small_net(), words_of(TEXTS)
+    for i, logit in enumerate(net.logits(words)):
+        rows = words.rows[words.off[i] : words.off[i + 1]]
+        x = [sum(net.embed[j][r[j]].astype(float) for j in range(3)) for r in rows]
+        pooled = []
+        for w, f, b in zip(toxicity.WIDTHS, net.filters, net.bias):
+            for k in range(toxicity.FILTERS):
+                places = [b[k] + sum(float(x[p + o] @ f[o][:, k]) for o in range(w)) for p in range(len(x) - w + 1)]
+                pooled.append(max([0.0, *places]))
+        assert abs(float(np.dot(pooled, net.out)) + net.out_bias - logit) < 1e-3
+    again = toxicity.Words.unpacked(words.packed(), np.diff(words.off) - 2)
+    assert np.array_equal(again.rows, words.rows) and np.array_equal(again.off, words.off)
+
+
+def test_gradients_equal_differences():
+    net, words = small_net(1), words_of(TEXTS)
+    label, weight = np.array([0, 1, 0, 1, 1, 0]), np.array([1, 2, 1, 1, 0.5, 1], np.float32)
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(words).astype(float)))
+        return float(-(weight * np.where(label == 1, np.log(p), np.log(1 - p))).mean())
+
+    grads, bias, place, by_place = toxicity.gradients(net, words, label, weight)
+    rng, step = np.random.default_rng(2), 1e-3
+    for param, grad in zip([*net.filters, *net.bias, net.out], grads):
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in param.shape)
+            kept, ends = param[at], []
+            for d in (step, -step):
+                param[at] = kept + d
+                ends.append(loss())
+            param[at] = kept
+            assert abs((ends[0] - ends[1]) / (2 * step) - grad[at]) < 2e-2 * max(1, abs(grad[at]))
+    total = np.zeros((len(words.rows), toxicity.DIM))
+    np.add.at(total, place, by_place)
+    for p in np.unique(place)[:8]:
+        row, d = words.rows[p, 0], int(rng.integers(toxicity.DIM))
+        kept, ends = net.embed[0][row, d], []
+        for e in (step, -step):
+            net.embed[0][row, d] = kept + e
+            ends.append(loss())
+        net.embed[0][row, d] = kept
+        same = words.rows[:, 0] == row
+        assert abs((ends[0] - ends[1]) / (2 * step) - total[same, d].sum()) < 2e-2
+    assert abs(bias - float((weight * (1 / (1 + np.exp(-net.logits(words))) - label)).mean())) < 1e-4
+
+
+def test_sample_is_bounded_by_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 10, "en", 5) for i in range(50)], "doc_id long, text string, lang string, h int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda words, label, language, n: seen.append((np.diff(words.off).tolist(), len(label), n)) or "model")
+    toxicity.fit(docs, labels, most_words=75)
+    toxicity.fit(docs.drop("lang"), labels, most_words=1)
+    assert seen == [([12] * 7, 7, 1), ([12], 1, 1)]
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 1), (4, 1, 0), (5, 1, 1), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
     got = toxicity.classify(odd, labels).collect()
@@ -146,6 +221,25 @@ def test_pipeline_stages(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["odd", "none"])
+def test_pipeline_stages_on_odd_tables(spark, request, tmp_path, name):
+    docs = request.getfixturevalue(name).withColumns({"n_words": F.lit("w"), "n_removed": F.lit(7), "digest": F.lit(b"d"), "class_id": F.lit("c")})
+    spark.createDataFrame([(4, 0), (5, 0), (7, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema, seen = docs.schema.simpleString(), docs
+    for stage, run in corpus_pipeline.STAGES[:-1]:
+        seen = run(spark, seen, str(tmp_path)).cache()
+        assert seen.schema.simpleString() == schema, stage
+        assert seen.where("n_words != 'w' OR n_removed != 7 OR class_id != 'c'").count() == 0
+        if stage == "toxicity":
+            scored = toxicity.classify(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            assert seen.count() == scored.where("predicted = 0").count()
+        if stage == "near_dedup":
+            texts = [(r.text or "") for r in seen.where("doc_id IS NOT NULL").collect()]
+            assert len(texts) == len(set(texts))
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).collect()
+    assert len({r.doc_id for r in packed}) == seen.select("doc_id").distinct().count()
+
+
 def test_near_dedup_stage_without_the_original(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
