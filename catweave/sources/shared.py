@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a local session gets a temporary one."""
+    """The folder the session names in ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(spark, "_catweave_shared", None)
         if where is None:
             where = spark._catweave_shared = "file://" + tempfile.mkdtemp(prefix="catweave-")
