@@ -33,8 +33,3 @@ def signatures(edges: DataFrame, first: str = "u", second: str = "v") -> DataFra
     signed = own.select("node", F.sort_array(F.array_union("others", F.array("node"))).alias("signature"))
     alike = F.count("*").over(Window.partitionBy("signature"))
     return signed.withColumn("is_clique", alike == F.size("signature"))
-
-
-def clique_mask(size: Column, n_edges: Column) -> Column:
-    """Whether a component of so many nodes and edges is a clique."""
-    return n_edges * 2 == size * (size - 1)

@@ -62,7 +62,7 @@ class DegenerateCrossmatchConfig(CrossmatchModeConfig):
         if len(set(self.surveys)) != len(self.surveys) or len(self.surveys) < 2:
             raise ValueError("a degenerate mode needs two or more different surveys")
         if self.policy.startswith("anchored") and len(self.surveys) != 2:
-            raise ValueError(f"{self.policy} is a two-survey policy")
+            raise ValueError(f"{self.policy} looks from one survey at one other; {len(self.surveys)} are given")
 
     def required_surveys(self) -> tuple[str, ...]:
         return self.surveys
@@ -80,7 +80,7 @@ class DegenerateCrossmatchConfig(CrossmatchModeConfig):
             "match_index.mode": "degenerate", "match_index.surveys": list(self.surveys), "match_index.match_policy": self.policy,
             "match_index.pair_radius_arcsec": edges.radius_metadata(pairs),
         }
-        return MatchIndex(df, self.surveys, [column(row_column(self.surveys[0])), *(column(row_column(s)) for s in self.surveys[1:])], static, lambda: {"mode": "degenerate", "match_policy": self.policy, "surveys": list(self.surveys), "n_groups": df.count()})
+        return MatchIndex(df, self.surveys, [column(row_column(self.surveys[0])), *(column(row_column(s)) for s in self.surveys[1:])], static, lambda: {"mode": "degenerate", "policy": self.policy, "surveys": list(self.surveys), "n_groups": df.count()})
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ POLICIES = ("anchored_nearest", "anchored_unique", "mutual_nearest", "mutual_uni
 
 def check_policy(policy: str) -> None:
     if policy not in POLICIES:
-        raise ValueError(f"unknown subset-join policy {policy!r}; known: {', '.join(POLICIES)}")
+        raise ValueError(f"{policy!r} is none of the pair policies {', '.join(POLICIES)}")
 
 
 def one_to_one_pairs(pairs: DataFrame, policy: str, first: str = "row_a", second: str = "row_b", separation: str = "separation_arcsec") -> DataFrame:

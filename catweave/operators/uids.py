@@ -102,7 +102,7 @@ def match_uids(spark: SparkSession, uids: Mapping[str, Any], *, join: str = "inn
             grouped = grouped.where(column(row_column(n)).isNotNull())
     elif join == "left":
         grouped = grouped.where(column(row_column(anchor)).isNotNull())
-    order = [anchor, *(n for n in names if n != anchor)]
+    order = source_order(names, anchor)
     first = functools.reduce(lambda c, k: c.when(column(row_column(order[k])).isNotNull(), k), range(1, len(order)), F.when(column(row_column(anchor)).isNotNull(), 0))
     keyed = grouped.select(first.alias("_k"), F.coalesce(*(column(row_column(n)) for n in order)).alias("_r"), *(column(row_column(n)) for n in names))
     df = numbered(keyed, "entity_id", "_k", "_r").select("entity_id", *(column(row_column(n)) for n in names))
@@ -113,10 +113,5 @@ def match_uids(spark: SparkSession, uids: Mapping[str, Any], *, join: str = "inn
     return MatchIndex(df, tuple(names), [F.col("entity_id")], static, lambda: {"mode": "uid", "join": join, "n_rows": df.count()})
 
 
-def unmatched_rows(source: DataFrame, matched: DataFrame) -> DataFrame:
-    """Rows of a source that a match doesn't have."""
-    return source.join(matched, "row", "left_anti")
-
-
 def source_order(names: Sequence[str], anchor: str) -> list[str]:
     return [anchor, *(n for n in names if n != anchor)]

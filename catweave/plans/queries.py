@@ -188,12 +188,12 @@ def hub_uid_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = catalogue_of(spark, sf_dir, "a")
     uids = {"a": a.select("row", F.col("key").alias("uid")), "k": _keys(spark, sf_dir, "lineitem", "l_orderkey")}
     coordinates = {"a": a.select("row", "ra", "dec"), **_catalogues(spark, sf_dir, "b")}
-    return _plain(match_hub_and_spoke(spark, anchor="a", links={"k": UIDLink(), "b": SpatialLink(1.0)}, coordinates=coordinates, uids=uids, check=False).df)
+    return _plain(match_hub_and_spoke(spark, anchor="a", links={"k": UIDLink(), "b": SpatialLink(1.0)}, coordinates=coordinates, uids=uids, dedupe_radius_arcsec=0.0, check=False).df)
 
 
 def hub_two_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = {"b": SpatialLink(1.0, "anchored_nearest"), "c": SpatialLink(0.8)}
-    return _plain(match_hub_and_spoke(spark, anchor="a", links=links, coordinates=_catalogues(spark, sf_dir, "abc"), check=False).df)
+    return _plain(match_hub_and_spoke(spark, anchor="a", links=links, coordinates=_catalogues(spark, sf_dir, "abc"), dedupe_radius_arcsec=0.0, check=False).df)
 
 
 def entity_sorted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +319,59 @@ ent AS (SELECT {spread("max")}, NULL::VARCHAR AS disputed_reason FROM sq WHERE c
  UNION ALL SELECT {spread("")}, why AS disputed_reason FROM ({single}))"""
 
 
+def _resolved(grouped: str, size_cap: int = 30, names: str = "abc") -> str:
+    """``ent`` under a resolver.  ``grouped`` makes ``fin(node, grp)`` from ``odd(comp, node)``, the nodes of
+    ambiguous components up to the cap, and ``ee(u, v, sep)``, the edges between them in both directions."""
+    spread = lambda f: ", ".join(f"{f}(CASE WHEN node >> 48 = {i} THEN node & {(1 << 48) - 1} END) AS {n}_row" for i, n in enumerate(names))
+    single = " UNION ALL ".join(
+        ["SELECT node, NULL AS why FROM act WHERE node NOT IN (SELECT node FROM sg)", f"SELECT node, 'ambiguous_component' FROM lab WHERE size > {size_cap}"]
+        + [f"SELECT row + {names.index(n) << 48}, 'dedupe_disputed' FROM {n}o WHERE status = 'disputed'" for n in names if n != "a"]
+    )
+    return f"""WITH RECURSIVE {_active_edges(names)},
+on_ AS (SELECT n, m FROM nb WHERE n IN (SELECT node FROM sq WHERE NOT clique)),
+walk(node, m) AS (SELECT n, m FROM on_ UNION SELECT w.node, o.m FROM walk w JOIN on_ o ON o.n = w.m),
+lab AS MATERIALIZED (SELECT node, comp, count(*) OVER (PARTITION BY comp) AS size FROM (SELECT node, min(m) AS comp FROM walk GROUP BY node)),
+odd AS MATERIALIZED (SELECT comp, node FROM lab WHERE size <= {size_cap}),
+ee AS MATERIALIZED (SELECT u, v, sep FROM e WHERE u IN (SELECT node FROM odd) UNION ALL SELECT v, u, sep FROM e WHERE u IN (SELECT node FROM odd)),
+{grouped},
+ent AS (SELECT {spread("max")}, NULL::VARCHAR AS disputed_reason FROM sq WHERE clique GROUP BY sig[1]
+ UNION ALL SELECT {spread("max")}, NULL FROM fin GROUP BY grp
+ UNION ALL SELECT {spread("")}, why AS disputed_reason FROM ({single}))
+SELECT * FROM ent"""
+
+
+#: One merge a component and round: the complete pair of groups with the least worst separation.
+_SPLIT = """st(it, comp, node, grp) AS (
+ SELECT 0, comp, node, node FROM odd
+ UNION ALL
+ SELECT s.it + 1, s.comp, s.node, CASE WHEN s.grp = b.h THEN b.g ELSE s.grp END FROM st s JOIN (
+  SELECT comp, g, h FROM (
+   SELECT comp, g, h, row_number() OVER (PARTITION BY comp ORDER BY worst, merged) AS k FROM (
+    SELECT p.comp, p.grp AS g, q.grp AS h, max(ee.sep) AS worst, list_sort(list_distinct(list_concat(list(p.node), list(q.node)))) AS merged
+    FROM st p JOIN st q ON p.comp = q.comp AND p.grp < q.grp LEFT JOIN ee ON ee.u = p.node AND ee.v = q.node
+    GROUP BY p.comp, p.grp, q.grp HAVING count(ee.sep) = count(*))) WHERE k = 1) b ON b.comp = s.comp),
+fin AS (SELECT node, arg_max(grp, it) AS grp FROM st GROUP BY node)"""
+
+
+def _sequential(ranks: list[int]) -> str:
+    """One placing a component and round: the best offer of the step, or, without one, the rest found groups."""
+    rank = "CASE s.node >> 48 " + " ".join(f"WHEN {s} THEN {k}" for k, s in enumerate(ranks)) + " END"
+    return f"""st(it, step, comp, node, grp, placed) AS (
+ SELECT 0, 0, comp, node, NULL::BIGINT, NULL::INT FROM odd
+ UNION ALL
+ SELECT s.it + 1, s.step + CASE WHEN b.node IS NULL THEN 1 ELSE 0 END, s.comp, s.node,
+  CASE WHEN s.node = b.node THEN b.g WHEN b.node IS NULL AND s.grp IS NULL AND {rank} = s.step THEN (s.step::BIGINT << 60) + s.node ELSE s.grp END,
+  CASE WHEN s.node = b.node OR b.node IS NULL AND s.grp IS NULL AND {rank} = s.step THEN s.step ELSE s.placed END
+ FROM st s LEFT JOIN (
+  SELECT comp, node, g FROM (
+   SELECT comp, node, g, row_number() OVER (PARTITION BY comp ORDER BY worst, node, g) AS k FROM (
+    SELECT s.comp, s.node, q.grp AS g, max(ee.sep) AS worst
+    FROM st s JOIN st q ON q.comp = s.comp AND q.grp IS NOT NULL LEFT JOIN ee ON ee.u = s.node AND ee.v = q.node
+    WHERE s.grp IS NULL AND {rank} = s.step GROUP BY s.comp, s.node, q.grp HAVING count(ee.sep) = count(*) AND max(q.placed) < any_value(s.step))) WHERE k = 1) b ON b.comp = s.comp
+ WHERE s.step < {len(ranks)}),
+fin AS (SELECT node, arg_max(grp, it) AS grp FROM st WHERE grp IS NOT NULL GROUP BY node)"""
+
+
 def _uid_sql(name: str) -> str:
     sources, join, anchor = UIDS[name]
     names = [s[0] for s in sources]
@@ -361,6 +414,9 @@ def oracle_sql() -> dict[str, str]:
         "degenerate_anchored_nearest": f"WITH {_active_edges()}, {_policy('m', 'ab', 'anchored_nearest')} SELECT i AS a_row, j AS b_row, round(sep::FLOAT::DOUBLE, 3) AS a_b_sep FROM m",
         "saved_edges_roundtrip": three["mutual_nearest"],
         "entity_refuse": f"{entities} SELECT * FROM ent",
+        "entity_split": _resolved(_SPLIT),
+        "entity_split_cap3": _resolved(_SPLIT, size_cap=3),
+        "entity_sequential": _resolved(_sequential([1, 0, 2])),
         "banded_equals_memory": f"{entities} SELECT * FROM ent",
         "entity_refuse_drop": f"{entities} SELECT * FROM ent WHERE disputed_reason IS NULL",
         "entity_refuse_selection": f"{entities} SELECT * FROM ent WHERE (a_row IS NOT NULL)::INT + (b_row IS NOT NULL)::INT + (c_row IS NOT NULL)::INT >= 2 AND a_row IS NOT NULL",

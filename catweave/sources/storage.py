@@ -85,8 +85,14 @@ def _write_parts(edges: CandidateEdges, directory: str, segment: F.Column | None
 
 
 def write_segment(edges: CandidateEdges, directory: str, name: str) -> None:
-    """Add one segment; ``write_metadata`` afterwards names the segments."""
+    """Write one segment, in place of what it held before; ``write_metadata`` afterwards names the segments."""
     check_segment_names([name])
+    spark = edges.spark
+    jvm = spark.sparkContext._jvm
+    folder = f"segment={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)}"
+    for part in (ROWS, DEDUPE, EDGES):
+        p = jvm.org.apache.hadoop.fs.Path(f"{directory}/{part}/{folder}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     _write_parts(edges, directory, F.lit(name), "append")
 
 
@@ -257,7 +263,7 @@ def _finish(spark: SparkSession, directory: str, plan: Mapping[str, Any], settin
         carried = at.where("low < high AND band < high").select(F.explode(F.sequence("band", F.col("high") - 1)).alias("edge")).groupBy("edge").count()
         worst = carried.agg(F.max("count")).first()[0] or 0
         if worst > max_carried_rows:
-            raise RuntimeError(f"{worst} rows cross one band boundary in unfinished groups; the matching radius is too large for this density")
+            raise RuntimeError(f"groups that are not finished take {worst} rows over one band boundary, more than the {max_carried_rows} allowed: at this density the radii link nearly everything")
     name = F.when(F.col("low") < F.col("high"), F.concat(F.lit("boundary-"), F.col("high").cast("string"))).otherwise(F.concat(F.lit("band-"), F.col("band").cast("string")))
     named = written(at.select("survey", "row", name.alias("segment")), "segments")
     put = CandidateEdges(
