@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sphere import band_of, direction, unit_vector
 from ..operators.dedupe import dedupe_survey
-from ..operators.edges import CandidateEdges, build_edges
+from ..operators.edges import CandidateEdges, build_edges, combine_segments
 from ..operators.graph import signatures
 from ..operators.hub import SpatialLink, UIDLink, match_hub_and_spoke
 from ..operators.modes import DegenerateCrossmatchConfig, EntitySelectionConfig, EntitywiseCrossmatchConfig, node_edges
@@ -21,10 +21,10 @@ from ..operators.policies import POLICIES, one_to_one_pairs
 from ..operators.spatial import all_pairs, self_pairs
 from ..operators.uids import match_uids
 from ..sources.shared import numbered, scratch
-from ..sources.storage import build_edges_by_band, read_bands, read_edges, write_band_layout, write_edges
+from ..sources.storage import build_band, build_edges_by_band, prepare_band_build, read_bands, read_edges, read_segment, segment_names, sweep_boundaries, write_band_layout, write_edges
 from .audit import component_facts, duplicate_groups, pair_facts
 from .index import column, ids_to_rows, rows_to_ids
-from .match import resolve
+from .match import crossmatch, resolve
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = {"radius_arcsec": 1.0, "dedupe_radius_arcsec": 0.4, "dedupe_radius_arcsec_overrides": {"a": 0.0}, "radius_arcsec_overrides": {("a", "c"): 0.8}, "check": False}
@@ -144,11 +144,12 @@ def separation_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_facts(_edges(spark, sf_dir)).select("survey_a", "survey_b", *(F.round(F.col("percentiles")[i], 4).alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))))
 
 
-def _keys(spark: SparkSession, sf_dir: str, table: str, key: str, cast: str | None = None) -> DataFrame:
-    uid = F.col(key).cast(cast) if cast else F.col(key)
-    return numbered(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(uid.alias("uid")).distinct(), "row", "uid")
+def _keys(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    return numbered(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(key).alias("uid")).distinct(), "row", "uid")
 
 
+#: Every other key above all signed 64-bit numbers.
+_HIGH = "CAST(CAST({0} AS DECIMAL(20,0)) + CASE WHEN {0} % 2 = 1 THEN 9223372036854775808 ELSE 0 END AS DECIMAL(20,0))"
 #: name: (sources as (name, table, key), join, anchor)
 UIDS = {
     "uid_inner": ((("d", "documents", "doc_id"), ("l", "labels", "doc_id")), "inner", None),
@@ -156,8 +157,9 @@ UIDS = {
     "uid_outer": ((("c", "customer", "c_custkey"), ("o", "orders", "o_custkey")), "outer", None),
     "uid_outer_anchor_b": ((("p", "part", "p_partkey"), ("l", "lineitem", "l_partkey")), "outer", "l"),
     "uid_three_way_outer": ((("c", "customer", "c_custkey"), ("s", "supplier", "s_suppkey"), ("p", "part", "p_partkey")), "outer", None),
-    "uid_string_inner": ((("c", "customer", "c_name"), ("d", "customer", "c_name")), "inner", None),
-    "uid_uint64": ((("c", "customer", "c_custkey"), ("s", "supplier", "s_suppkey")), "inner", None),
+    "uid_string_inner": ((("c", "customer", "CAST(c_custkey AS STRING)"), ("o", "orders", "CAST(o_custkey AS STRING)")), "inner", None),
+    "uid_uint64": ((("c", "customer", _HIGH.format("c_custkey")), ("o", "orders", _HIGH.format("o_custkey"))), "left", None),
+    "uid_checked": ((("l", "labels", "doc_id"), ("d", "documents", "doc_id")), "outer", "d"),
 }
 
 
@@ -165,8 +167,7 @@ def _uid_query(name: str) -> Query:
     sources, join, anchor = UIDS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cast = {"c": "decimal(20,0)"} if name == "uid_uint64" else {}
-        return _plain(match_uids(spark, {n: _keys(spark, sf_dir, t, k, cast.get(n)) for n, t, k in sources}, join=join, anchor=anchor, check=False).df)
+        return _plain(match_uids(spark, {n: _keys(spark, sf_dir, t, k) for n, t, k in sources}, join=join, anchor=anchor, check=name == "uid_checked").df)
 
     return run
 
@@ -215,6 +216,21 @@ def banded_equals_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(resolve(read_edges(spark, path), EntitywiseCrossmatchConfig()).df)
 
 
+def bands_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each band built by itself, then swept; read back segment by segment."""
+    layout, path = scratch(spark, "layout"), scratch(spark, "edges")
+    write_band_layout(spark, layout, _catalogues(spark, sf_dir, "abc"), band_height_deg=0.2)
+    for band in prepare_band_build(spark, layout, path, **{k: v for k, v in SETTINGS.items() if k != "check"}):
+        build_band(spark, path, band)
+    sweep_boundaries(spark, path)
+    segments = [read_segment(spark, path, n) for n in segment_names(spark, path)]
+    return _plain(resolve(combine_segments(segments), EntitywiseCrossmatchConfig()).df)
+
+
+def crossmatch_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(crossmatch(spark, _catalogues(spark, sf_dir, "abc"), mode=EntitywiseCrossmatchConfig(), **{**SETTINGS, "check": True}).df)
+
+
 def band_read_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = scratch(spark, "layout")
     write_band_layout(spark, layout, _catalogues(spark, sf_dir, "b"), band_height_deg=0.05)
@@ -225,7 +241,7 @@ def queries() -> dict[str, Query]:
     plain = (
         xyz_projection, xyz_to_radec_roundtrip, band_layout_counts, self_pairs_b, dedupe_b, candidate_edges_active, clique_signatures, components_census, audit_pairs,
         audit_surveys, separation_percentiles, rows_to_ids_ab, ids_to_rows_ab, hub_uid_spatial, hub_two_spatial, entity_sorted_index, saved_edges_roundtrip,
-        banded_equals_memory, band_read_pruned,
+        banded_equals_memory, bands_swept, crossmatch_entities, band_read_pruned,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {"all_pairs_ab": _pairs_query("a", "b", 1.0), "all_pairs_ac_override": _pairs_query("a", "c", 0.8)}
@@ -418,6 +434,8 @@ def oracle_sql() -> dict[str, str]:
         "entity_split_cap3": _resolved(_SPLIT, size_cap=3),
         "entity_sequential": _resolved(_sequential([1, 0, 2])),
         "banded_equals_memory": f"{entities} SELECT * FROM ent",
+        "bands_swept": f"{entities} SELECT * FROM ent",
+        "crossmatch_entities": f"{entities} SELECT * FROM ent",
         "entity_refuse_drop": f"{entities} SELECT * FROM ent WHERE disputed_reason IS NULL",
         "entity_refuse_selection": f"{entities} SELECT * FROM ent WHERE (a_row IS NOT NULL)::INT + (b_row IS NOT NULL)::INT + (c_row IS NOT NULL)::INT >= 2 AND a_row IS NOT NULL",
         "entity_sorted_index": f"{entities} SELECT row_number() OVER (ORDER BY CASE WHEN a_row IS NOT NULL THEN 0 WHEN b_row IS NOT NULL THEN 1 ELSE 2 END, coalesce(a_row, b_row, c_row)) - 1 AS ordinal, * FROM ent",
