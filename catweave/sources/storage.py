@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sphere import band_of
-from ..operators.components import connected_components
 from ..operators.dedupe import dedupe_from_pairs
 from ..operators.edges import EDGE_SCHEMA, OUTCOME_SCHEMA, CandidateEdges, EdgeSettings, build_edges, edge_settings, union
-from ..operators.modes import CrossmatchModeConfig, node_edges
+from ..operators.modes import CrossmatchModeConfig, labelled, node_edges
 from ..operators.spatial import all_pairs, self_pairs
 from ..plans.index import MatchIndex
 from ..plans.match import resolve
@@ -46,6 +45,13 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def file_names(spark: SparkSession, directory: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def check_segment_names(names: Iterable[str]) -> list[str]:
     names = list(names)
     for n in names:
@@ -167,7 +173,8 @@ def write_band_layout(spark: SparkSession, directory: str, surveys: Mapping[str,
     counts = check_coordinates(frames)
     for n, df in frames.items():
         df = df.withColumn("band", band_of(F.col("dec"), band_height_deg))
-        df.repartition("band").sortWithinPartitions("band", "row").write.mode("overwrite").partitionBy("band").parquet(f"{directory}/{n}")
+        # Ranges of rows, so that a crowded band is spread over tasks and a thin one is one file.
+        df.repartitionByRange("band", "row").sortWithinPartitions("band", "row").write.mode("overwrite").partitionBy("band").parquet(f"{directory}/{n}")
     write_text(spark, f"{directory}/layout.json", json.dumps({"band_height_deg": band_height_deg, "surveys": [{"name": n, "n_rows": counts[n]} for n in frames]}))
 
 
@@ -177,7 +184,7 @@ def read_layout(spark: SparkSession, directory: str) -> dict[str, Any]:
 
 def read_bands(spark: SparkSession, directory: str, survey: str, bands: Iterable[int] | None = None) -> DataFrame:
     """``row, ra, dec, band``; other bands' files are not read."""
-    df = spark.read.schema("row long, ra double, dec double, band long").parquet(f"{directory}/{survey}")
+    df = spark.read.schema("row long, ra double, dec double, band long").parquet(f"{directory}/{survey}").select("row", "ra", "dec", "band")
     return df if bands is None else df.where(F.col("band").isin(list(bands)))
 
 
@@ -205,12 +212,17 @@ PAIRS = "kind string, survey_a string, survey_b string, row_a long, row_b long,
 
 
 def _band_pairs(spark: SparkSession, plan: Mapping[str, Any], settings: EdgeSettings, bands: list[int] | None) -> DataFrame:
-    """All pairs a set of bands owns: those whose first row lies in it.  Neighbour bands give the other rows."""
+    """All pairs a set of bands owns: those whose first row lies in it.
+
+    The other rows come from the same bands and from the margin of the next ones that the radius reaches.
+    """
     own = {s["name"]: read_bands(spark, plan["layout"], s["name"], bands) if s["n_rows"] else spark.createDataFrame([], "row long, ra double, dec double, band long") for s in plan["surveys"]}
     near = own
     if bands is not None:
         reach = sorted({b + d for b in bands for d in (-1, 0, 1)})
-        near = {s["name"]: read_bands(spark, plan["layout"], s["name"], reach) if s["n_rows"] else own[s["name"]] for s in plan["surveys"]}
+        height, margin = plan["band_height_deg"], settings.max_radius_arcsec * (1 + 1e-6) / 3600 + 1e-9
+        within = F.col("dec").between(min(bands) * height - 90.0 - margin, (max(bands) + 1) * height - 90.0 + margin)
+        near = {s["name"]: read_bands(spark, plan["layout"], s["name"], reach).where(within) if s["n_rows"] else own[s["name"]] for s in plan["surveys"]}
     out = []
     for n, r in settings.dedupe_radius.items():
         if r:
@@ -254,7 +266,7 @@ def _finish(spark: SparkSession, directory: str, plan: Mapping[str, Any], settin
         cross = cross.join(gone.select(F.col("survey").alias(f"survey_{s}"), F.col("row").alias(f"row_{s}")), [f"survey_{s}", f"row_{s}"], "left_anti")
     cross = written(cross.select("survey_a", "survey_b", "row_a", "row_b", "separation_arcsec"), "cross")
     edges = CandidateEdges(spark, settings, rows, outcomes, cross)
-    group = connected_components(node_edges(CandidateEdges(spark, settings, rows, outcomes, pairs.drop("kind"))), "u", "v", written)
+    group = labelled(node_edges(CandidateEdges(spark, settings, rows, outcomes, pairs.drop("kind"))))[0].select("node", "component")
     place = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i).cast("long"))))
     at = placed.withColumn("node", F.shiftleft(place[F.col("survey")], 48) + F.col("row")).join(group, "node", "left")
     span = at.where("component IS NOT NULL").groupBy("component").agg(F.min("band").alias("low"), F.max("band").alias("high"))
