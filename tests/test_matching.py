@@ -383,17 +383,35 @@ def test_bands_with_chains(spark, tmp_path):
 
 
 def test_read_catalogue_and_stream(spark, tmp_path):
-    from catweave.sources.storage import read_bands
-    from catweave.streaming.ingest import layout_writer
+    from catweave.sources.storage import read_bands, read_layout
+    from catweave.streaming.ingest import finish_layout, layout_writer
 
     df = spark.createDataFrame([(float(i), float(i % 90)) for i in range(50)], "ra double, dec double")
     df.coalesce(1).write.parquet(f"{tmp_path}/c")
     assert got(cw.read_catalogue(spark, f"{tmp_path}/c"))[7] == (7, 7.0, 7.0)
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/c")
-    q = layout_writer(stream, f"file://{tmp_path}/layout", "s", band_height_deg=10.0, order="ra").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    assert read_bands(spark, f"file://{tmp_path}/layout", "s").count() == 50
+    layout = f"file://{tmp_path}/layout"
+    c = field(31, {"p": 30, "q": 24})
+
+    def feed(name, part):
+        rows = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(part)], "at long, ra double, dec double")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in-{name}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in-{name}")
+        q = layout_writer(stream, layout, name, band_height_deg=0.01, order="at").option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    with pytest.raises(ValueError, match="band height"):
+        finish_layout(spark, layout, ["p", "q"])
+    feed("p", places(c["p"])[:20])
+    feed("q", places(c["q"]))
+    feed("p", places(c["p"])[20:])
+    finish_layout(spark, layout, ["p", "q", "none"])
+    assert got(read_bands(spark, layout, "p").select("row", "ra", "dec")) == [(i, *x) for i, x in enumerate(places(c["p"]))]
+    cw.build_edges_by_band(spark, layout, f"file://{tmp_path}/e", radius_arcsec=0.8, dedupe_radius_arcsec=0.0)
+    assert got(cw.read_edges(spark, f"file://{tmp_path}/e").pair("p", "q").select("row_a", "row_b")) == sorted(plain.pairs(places(c["p"]), places(c["q"]), 0.8))
+    with pytest.raises(Exception, match="finite"):
+        feed("q", [(float("nan"), 0.0)])
+    finish_layout(spark, layout, ["p", "q"])
+    assert read_bands(spark, layout, "q").count() == 24 == read_layout(spark, layout)["surveys"][1]["n_rows"]
 
 
 def test_kernel_and_outcomes(spark):
@@ -404,6 +422,11 @@ def test_kernel_and_outcomes(spark):
     assert got(kernel.self_pairs(0.8).select("row_a", "row_b")) == sorted((i, j) for i, j in plain.pairs(own, own, 0.8) if i < j)
     cross = plain.pairs(own, places(c["q"]), 0.5)
     assert got(kernel.all_pairs(other, 0.5).select("row_a", "row_b")) == sorted(cross)
+    chunks = [[tuple(r) for r in k.select("row_a", "row_b").collect()] for k in kernel.all_pairs_chunks(other, 0.5, chunk_rows=10)]
+    assert len(chunks) == 3 and sum(chunks, []) == sorted(cross) and all(10 * k <= i < 10 * k + 10 for k, part in enumerate(chunks) for i, _ in part)
+    for bad in ({"workers": 0}, {"chunk_rows": 0}):
+        with pytest.raises(ValueError):
+            kernel.all_pairs_chunks(other, 0.5, **bad)
     found = plain.dedupe(own, 0.4)
     assert got(kernel.dedupe(0.4)) == got_list((r, *v) for r, v in found.items())
     with pytest.raises(ValueError, match="finite"):
