@@ -50,9 +50,10 @@ def _warn(low: bool, name: str, column: str) -> None:
         warnings.warn(f"{name}: {column} has less than 64 bits; positions are only as exact as that", UserWarning, stacklevel=3)
 
 
-def check_coordinates(catalogues: dict[str, DataFrame]) -> dict[str, int]:
+def check_coordinates(catalogues: dict[str, DataFrame], unrolled: bool = False) -> dict[str, int]:
     """Rows of each catalogue; raises if a coordinate isn't finite or a declination lies beyond a pole.
 
+    Unrolled declinations may lie there: they go on over the poles along a meridian (see ``operators/spatial``).
     One job for all catalogues.
     """
     parts = [df.select(F.lit(n).alias("name"), "ra", "dec") for n, df in catalogues.items()]
@@ -65,16 +66,16 @@ def check_coordinates(catalogues: dict[str, DataFrame]) -> dict[str, int]:
     for r in got:
         if r["odd"]:
             raise ValueError(f"{r['name']}: coordinates must be finite")
-        if r["far"]:
+        if r["far"] and not unrolled:
             raise ValueError(f"{r['name']}: declinations must be within -90 and 90 degrees")
         counts[r["name"]] = r["n"]
     return counts
 
 
-def with_vectors(df: DataFrame) -> DataFrame:
-    """``row, x, y, z`` of a catalogue."""
+def with_vectors(df: DataFrame, *more: str) -> DataFrame:
+    """``row, x, y, z`` of a catalogue, and more of its columns."""
     x, y, z = unit_vector(F.col("ra"), F.col("dec"))
-    return df.select("row", x.alias("x"), y.alias("y"), z.alias("z"))
+    return df.select("row", x.alias("x"), y.alias("y"), z.alias("z"), *more)
 
 
 def as_chunks(ra: Any, dec: Any, chunk_rows: int) -> Iterator[tuple[Any, Any]]:
