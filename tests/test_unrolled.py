@@ -13,6 +13,7 @@ SF = Path("/root/testdata/sf0.001")
 TURN = 7375574
 QUERIES = [
     "all_pairs_ab",
+    "all_pairs_k1",
 ]
 
 
