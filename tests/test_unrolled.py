@@ -14,6 +14,7 @@ TURN = 7375574
 QUERIES = [
     "all_pairs_ab",
     "all_pairs_k1",
+    "all_pairs_k2",
 ]
 
 
