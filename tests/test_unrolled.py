@@ -15,6 +15,7 @@ QUERIES = [
     "all_pairs_ab",
     "all_pairs_k1",
     "all_pairs_k2",
+    "audit_pairs",
 ]
 
 
