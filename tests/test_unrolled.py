@@ -16,6 +16,7 @@ QUERIES = [
     "all_pairs_k1",
     "all_pairs_k2",
     "audit_pairs",
+    "candidate_edges_active",
 ]
 
 
