@@ -17,6 +17,7 @@ QUERIES = [
     "all_pairs_k2",
     "audit_pairs",
     "candidate_edges_active",
+    "degenerate_abc_mutual_unique",
 ]
 
 
