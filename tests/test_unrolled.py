@@ -18,6 +18,7 @@ QUERIES = [
     "audit_pairs",
     "candidate_edges_active",
     "degenerate_abc_mutual_unique",
+    "policy_anchored_unique",
 ]
 
 
