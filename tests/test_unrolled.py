@@ -19,6 +19,7 @@ QUERIES = [
     "candidate_edges_active",
     "degenerate_abc_mutual_unique",
     "policy_anchored_unique",
+    "policy_mutual_unique",
 ]
 
 
