@@ -20,6 +20,7 @@ QUERIES = [
     "degenerate_abc_mutual_unique",
     "policy_anchored_unique",
     "policy_mutual_unique",
+    "clique_signatures",
 ]
 
 
