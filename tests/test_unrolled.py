@@ -21,6 +21,7 @@ QUERIES = [
     "policy_anchored_unique",
     "policy_mutual_unique",
     "clique_signatures",
+    "degenerate_anchored_nearest",
 ]
 
 
