@@ -7,7 +7,9 @@ Edges are saved as three Parquet datasets partitioned by segment (``rows``, ``de
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
 from itertools import combinations
 from typing import Any
 
@@ -25,6 +27,7 @@ from .catalog import catalogue, check_coordinates, from_chunks
 from .shared import written
 
 ROWS, DEDUPE, EDGES, METADATA = "rows", "deduplication", "edges", "metadata.json"
+MOST_SLICES = 64
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -86,7 +89,8 @@ def _settings(meta: Mapping[str, Any]) -> EdgeSettings:
 
 def _write_parts(edges: CandidateEdges, directory: str, segment: F.Column | None, mode: str) -> None:
     for name, df, keys in ((ROWS, edges.rows, ["survey", "row"]), (DEDUPE, edges.outcomes, ["survey", F.desc("status"), "row"]), (EDGES, edges.edges, ["survey_a", "survey_b", "row_a", "row_b"])):
-        df = df if segment is None else df.withColumn("segment", segment)
+        # Rows of a segment come together, so that a task writes few files.
+        df = df.repartitionByRange("segment", *keys) if segment is None else df.withColumn("segment", segment)
         df.sortWithinPartitions("segment", *keys).write.mode(mode).partitionBy("segment").parquet(f"{directory}/{name}")
 
 
@@ -126,6 +130,14 @@ def read_segment(spark: SparkSession, directory: str, name: str) -> CandidateEdg
     return _read(spark, directory, meta, [name])
 
 
+def read_segments(spark: SparkSession, directory: str, names: Sequence[str]) -> CandidateEdges:
+    """Some segments together."""
+    meta = read_edges_metadata(spark, directory)
+    if strange := sorted(set(names) - set(meta["segments"])):
+        raise ValueError(f"there are no segments {strange}")
+    return _read(spark, directory, meta, list(names))
+
+
 def read_edges(spark: SparkSession, directory: str) -> CandidateEdges:
     """All segments together; without any, edges that cover no rows."""
     meta = read_edges_metadata(spark, directory)
@@ -162,19 +174,22 @@ def merged_metadata(summaries: list[Mapping[str, Any]]) -> dict[str, Any]:
 # Declination bands
 
 
-def write_band_layout(spark: SparkSession, directory: str, surveys: Mapping[str, Any], *, band_height_deg: float) -> None:
-    """Regroup catalogues by band; a survey is a frame, a pair of arrays, or an iterable of such pairs."""
+def write_band_layout(spark: SparkSession, directory: str, surveys: Mapping[str, Any], *, band_height_deg: float, unrolled: bool = False) -> None:
+    """Regroup catalogues by band; a survey is a frame, a pair of arrays, or an iterable of such pairs.
+
+    ``unrolled`` lets declinations go on over the poles, with bands beyond those of the sphere.
+    """
     if not band_height_deg > 0:
         raise ValueError("band_height_deg must be greater than 0")
     frames = {}
     for n, source in surveys.items():
         pair = isinstance(source, tuple) and len(source) == 2 and not (len(source[0]) and isinstance(source[0][0], tuple | list))
         frames[n] = catalogue(spark, source, n) if isinstance(source, DataFrame) or pair else from_chunks(spark, source, n)
-    counts = check_coordinates(frames)
+    counts = check_coordinates(frames, unrolled)
     for n, df in frames.items():
         df = df.withColumn("band", band_of(F.col("dec"), band_height_deg))
-        # Ranges of rows, so that a crowded band is spread over tasks and a thin one is one file.
-        df.repartitionByRange("band", "row").sortWithinPartitions("band", "row").write.mode("overwrite").partitionBy("band").parquet(f"{directory}/{n}")
+        # Ranges of rows: a crowded band is spread over tasks, and a file holds many thin ones, however many there are.
+        df.repartitionByRange("band", "row").sortWithinPartitions("band", "row").write.mode("overwrite").parquet(f"{directory}/{n}")
     write_text(spark, f"{directory}/layout.json", json.dumps({"band_height_deg": band_height_deg, "surveys": [{"name": n, "n_rows": counts[n]} for n in frames]}))
 
 
@@ -183,11 +198,19 @@ def read_layout(spark: SparkSession, directory: str) -> dict[str, Any]:
 
 
 def read_bands(spark: SparkSession, directory: str, survey: str, bands: Iterable[int] | None = None) -> DataFrame:
-    """``row, ra, dec, band``; other bands' files are not read."""
+    """``row, ra, dec, band``; of files and row groups that hold other bands only the footers are read."""
     df = spark.read.schema("row long, ra double, dec double, band long").parquet(f"{directory}/{survey}").select("row", "ra", "dec", "band")
+    if isinstance(bands, range) and bands.step == 1:
+        return df.where(F.col("band").between(bands.start, bands.stop - 1))
     return df if bands is None else df.where(F.col("band").isin(list(bands)))
 
 
+def runs(items: list, n: int) -> list[list]:
+    """At most ``n`` parts of a list, in order and about equal."""
+    size = max(1, -(-len(items) // n))
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
 def prepare_band_build(spark: SparkSession, layout: str, directory: str, **settings: Any) -> list[int]:
     """Check settings against a layout, record them, and name the bands to build."""
     laid = read_layout(spark, layout)
@@ -211,17 +234,17 @@ def _plan(spark: SparkSession, directory: str) -> tuple[dict[str, Any], EdgeSett
 PAIRS = "kind string, survey_a string, survey_b string, row_a long, row_b long, separation_arcsec double"
 
 
-def _band_pairs(spark: SparkSession, plan: Mapping[str, Any], settings: EdgeSettings, bands: list[int] | None) -> DataFrame:
-    """All pairs a set of bands owns: those whose first row lies in it.
+def _band_pairs(spark: SparkSession, plan: Mapping[str, Any], settings: EdgeSettings, bands: range | None) -> DataFrame:
+    """All pairs a range of bands owns: those whose first row lies in it.
 
     The other rows come from the same bands and from the margin of the next ones that the radius reaches.
     """
     own = {s["name"]: read_bands(spark, plan["layout"], s["name"], bands) if s["n_rows"] else spark.createDataFrame([], "row long, ra double, dec double, band long") for s in plan["surveys"]}
     near = own
     if bands is not None:
-        reach = sorted({b + d for b in bands for d in (-1, 0, 1)})
+        reach = range(bands.start - 1, bands.stop + 1)
         height, margin = plan["band_height_deg"], settings.max_radius_arcsec * (1 + 1e-6) / 3600 + 1e-9
-        within = F.col("dec").between(min(bands) * height - 90.0 - margin, (max(bands) + 1) * height - 90.0 + margin)
+        within = F.col("dec").between(bands.start * height - 90.0 - margin, bands.stop * height - 90.0 + margin)
         near = {s["name"]: read_bands(spark, plan["layout"], s["name"], reach).where(within) if s["n_rows"] else own[s["name"]] for s in plan["surveys"]}
     out = []
     for n, r in settings.dedupe_radius.items():
@@ -236,18 +259,36 @@ def _band_pairs(spark: SparkSession, plan: Mapping[str, Any], settings: EdgeSett
 
 def build_band(spark: SparkSession, directory: str, band: int) -> None:
     """One task of a build spread over processes: the pairs that a band owns, in any order of bands."""
+    build_bands(spark, directory, [band])
+
+
+def build_bands(spark: SparkSession, directory: str, bands: Sequence[int]) -> None:
+    """The same for some bands that follow each other in the build's list, as one plan."""
     plan, settings = _plan(spark, directory)
-    _band_pairs(spark, plan, settings, [band]).write.mode("overwrite").parquet(f"{directory}/.handovers/band-{band}")
+    bands = list(bands)
+    if not bands or bands != [b for b in plan["bands"] if bands[0] <= b <= bands[-1]]:
+        raise ValueError("bands are built in runs of the list that prepare_band_build gave")
+    _band_pairs(spark, plan, settings, range(bands[0], bands[-1] + 1)).write.mode("overwrite").parquet(f"{directory}/.handovers/bands-{bands[0]}_{bands[-1]}")
+
+
+def _handovers(spark: SparkSession, directory: str, bands: list[int]) -> list[str]:
+    """The folders of what was built; every band must be in one of them and in no other."""
+    built = sorted((tuple(map(int, n.removeprefix("bands-").split("_"))), n) for n in file_names(spark, f"{directory}/.handovers") if n.startswith("bands-"))
+    held = Counter(b for (low, high), _ in built for b in bands[bisect_left(bands, low) : bisect_right(bands, high)])
+    if wrong := [b for b in bands if held[b] != 1]:
+        raise ValueError(f"{len(wrong)} bands are not built, or in several runs, such as {wrong[:5]}")
+    return [f"{directory}/.handovers/{n}" for _, n in built]
 
 
 def sweep_boundaries(spark: SparkSession, directory: str, *, max_carried_rows: int | None = None) -> None:
     """Join the bands' pairs, decide duplicates, and write each group of rows into one segment.
 
-    A group within one band goes to ``band-k``, one that crosses boundaries to ``boundary-k`` of its last band.
+    A group within one slice of bands goes to ``band-k`` of the slice's first band, one that crosses slices to
+    ``boundary-k`` of its last slice.  A slice is one band unless there are more than ``MOST_SLICES``.
     More than ``max_carried_rows`` rows in groups that cross one boundary raise ``RuntimeError``.
     """
     plan, settings = _plan(spark, directory)
-    pairs = spark.read.schema(PAIRS).parquet(*(f"{directory}/.handovers/band-{b}" for b in plan["bands"])) if plan["bands"] else spark.createDataFrame([], PAIRS)
+    pairs = spark.read.schema(PAIRS).parquet(*_handovers(spark, directory, plan["bands"])) if plan["bands"] else spark.createDataFrame([], PAIRS)
     _finish(spark, directory, plan, settings, pairs, max_carried_rows)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/.handovers")
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -276,14 +317,17 @@ def _finish(spark: SparkSession, directory: str, plan: Mapping[str, Any], settin
         worst = carried.agg(F.max("count")).first()[0] or 0
         if worst > max_carried_rows:
             raise RuntimeError(f"groups that are not finished take {worst} rows over one band boundary, more than the {max_carried_rows} allowed: at this density the radii link nearly everything")
-    name = F.when(F.col("low") < F.col("high"), F.concat(F.lit("boundary-"), F.col("high").cast("string"))).otherwise(F.concat(F.lit("band-"), F.col("band").cast("string")))
+    first, last = (plan["bands"][0], plan["bands"][-1]) if plan["bands"] else (0, 0)
+    width = (last - first) // MOST_SLICES + 1
+    cut = lambda c: F.floor((F.col(c) - first) / width).cast("long") * width + first
+    name = F.when(cut("low") < cut("high"), F.concat(F.lit("boundary-"), cut("high").cast("string"))).otherwise(F.concat(F.lit("band-"), cut("band").cast("string")))
     named = written(at.select("survey", "row", name.alias("segment")), "segments")
     put = CandidateEdges(
         spark, settings, named, outcomes.join(named, ["survey", "row"]).select("survey", "row", "status", "kept_row", "segment"),
         cross.join(named.select(F.col("survey").alias("survey_a"), F.col("row").alias("row_a"), "segment"), ["survey_a", "row_a"]).select(*edges.edges.columns, "segment"),
     )
     _write_parts(put, directory, None, "overwrite")
-    # A few names a band.
+    # Two names a slice at most.
     segments = sorted((r[0] for r in named.select("segment").distinct().collect()), key=lambda s: (s.rpartition("-")[0], int(s.rpartition("-")[2])))
     write_metadata(spark, directory, settings, {s["name"]: s["n_rows"] for s in plan["surveys"]}, segments, {"band_height_deg": plan["band_height_deg"]})
 

@@ -6,12 +6,15 @@ import pandas as pd
 import pytest
 from compare import TABLES, expected, rows
 
+import catweave as cw
 from catweave.plans import queries as q
+from catweave.sources.storage import write_band_layout
 
 SF = Path("/root/testdata/sf0.001")
 #: A key this much higher lies a turn further on, less than two arcseconds away on the sphere.
 TURN = 7375574
 QUERIES = [
+    "band_read_pruned",
     "all_pairs_ab",
     "all_pairs_k1",
     "all_pairs_k2",
@@ -47,3 +50,14 @@ def test_turns_are_apart(spark, wound, name):
     assert sorted(df.columns) == columns and want
     norm = lambda xs: [x.replace(".0,", ",").replace(".0)", ")") for x in xs]
     assert norm(rows(df)) == norm(want)
+
+
+def test_only_unrolled_declinations_pass_the_poles(spark, tmp_path):
+    far = {"a": spark.createDataFrame([(0, 10.0, 300.0), (1, 10.0, -60.0)], "row long, ra double, dec double")}
+    with pytest.raises(ValueError, match="within -90 and 90"):
+        write_band_layout(spark, f"file://{tmp_path}/l", far, band_height_deg=0.1)
+    write_band_layout(spark, f"file://{tmp_path}/l", far, band_height_deg=0.1, unrolled=True)
+    settings = {"radius_arcsec": 1.0, "dedupe_radius_arcsec": 0.5, "mode": cw.EntitywiseCrossmatchConfig()}
+    with pytest.raises(ValueError, match="within -90 and 90"):
+        cw.crossmatch(spark, far, **settings)
+    assert cw.crossmatch(spark, far, unrolled=True, **settings).df.count() == 2
