@@ -25,6 +25,7 @@ QUERIES = [
     "policy_mutual_unique",
     "clique_signatures",
     "degenerate_anchored_nearest",
+    "crossmatch_entities",
 ]
 
 
