@@ -26,6 +26,7 @@ QUERIES = [
     "clique_signatures",
     "degenerate_anchored_nearest",
     "crossmatch_entities",
+    "entity_refuse_drop",
 ]
 
 
