@@ -27,6 +27,7 @@ QUERIES = [
     "degenerate_anchored_nearest",
     "crossmatch_entities",
     "entity_refuse_drop",
+    "hub_two_spatial",
 ]
 
 
