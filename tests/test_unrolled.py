@@ -28,6 +28,7 @@ QUERIES = [
     "crossmatch_entities",
     "entity_refuse_drop",
     "hub_two_spatial",
+    "entity_refuse",
 ]
 
 
