@@ -29,6 +29,7 @@ QUERIES = [
     "entity_refuse_drop",
     "hub_two_spatial",
     "entity_refuse",
+    "entity_refuse_selection",
 ]
 
 
